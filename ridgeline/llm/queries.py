@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import chunk_dedup
+from ridgeline.llm import chunk_dedup, mixing
 
 
 def queries():
-    return {"op7_chunk_recipes": chunk_dedup.query}
+    return {"op1_entropy_mix": mixing.query, "op7_chunk_recipes": chunk_dedup.query}
 
 
 def oracle_sql():
