@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import chunk_dedup, mixing
+from ridgeline.llm import chunk_dedup, mixing, packing, simhash
 
 
 def queries():
-    return {"op1_entropy_mix": mixing.query, "op7_chunk_recipes": chunk_dedup.query}
+    return {
+        "op1_entropy_mix": mixing.query,
+        "op4_anchor_simhash": simhash.query,
+        "op6_vector_best_fit": packing.query,
+        "op7_chunk_recipes": chunk_dedup.query,
+    }
 
 
 def oracle_sql():
