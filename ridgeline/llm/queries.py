@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import chunk_dedup, mixing, packing, simhash
+from ridgeline.llm import chunk_dedup, language_id, mixing, packing, simhash
 
 
 def queries():
     return {
         "op1_entropy_mix": mixing.query,
+        "op2_cross_parsing": language_id.query,
         "op4_anchor_simhash": simhash.query,
         "op6_vector_best_fit": packing.query,
         "op7_chunk_recipes": chunk_dedup.query,
