@@ -134,7 +134,7 @@ def fit(samples: dict[str, list[str]], bounds: Bounds = Bounds()) -> Model:
     first = build(coded, bounds.symbols // 4)
     if len(coded) > 1:
         for k, name in enumerate(first.languages):
-            own = [x for x in coded[name] if phrases([x], first)[0].argmin() == k]
+            own = [x for x, best in zip(coded[name], phrases(coded[name], first).argmin(axis=1)) if best == k]
             coded[name] = own or coded[name]
     least = min((sum(map(len, v)) for v in coded.values()), default=0)
     return build(coded, min(bounds.symbols, max(least, bounds.symbols // 4)))
