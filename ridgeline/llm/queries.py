@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import chunk_dedup, language_id, mixing, packing, simhash
+from ridgeline.llm import chat_format, chunk_dedup, embedding_dedup, language_id, mixing, packing, simhash
 
 
 def queries():
     return {
         "op1_entropy_mix": mixing.query,
         "op2_cross_parsing": language_id.query,
+        "op3_reply_trees": chat_format.query,
         "op4_anchor_simhash": simhash.query,
         "op6_vector_best_fit": packing.query,
         "op7_chunk_recipes": chunk_dedup.query,
+        "op10_sign_hashing": embedding_dedup.query,
     }
 
 
 def oracle_sql():
-    return {"op7_chunk_recipes": chunk_dedup.SQL}
+    return {"op3_reply_trees": chat_format.SQL, "op7_chunk_recipes": chunk_dedup.SQL}
