@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import chat_format, chunk_dedup, embedding_dedup, language_id, mixing, packing, simhash
+from ridgeline.llm import chat_format, chunk_dedup, embedding_dedup, language_id, license_scan, mixing, packing, simhash
 
 
 def queries():
@@ -13,9 +13,10 @@ def queries():
         "op4_anchor_simhash": simhash.query,
         "op6_vector_best_fit": packing.query,
         "op7_chunk_recipes": chunk_dedup.query,
+        "op9_canonical_licenses": license_scan.query,
         "op10_sign_hashing": embedding_dedup.query,
     }
 
 
 def oracle_sql():
-    return {"op3_reply_trees": chat_format.SQL, "op7_chunk_recipes": chunk_dedup.SQL}
+    return {"op3_reply_trees": chat_format.SQL, "op7_chunk_recipes": chunk_dedup.SQL, "op9_canonical_licenses": license_scan.SQL}
