@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import chat_format, chunk_dedup, embedding_dedup, language_id, license_scan, mixing, packing, simhash
+from ridgeline.llm import chat_format, chunk_dedup, embedding_dedup, html_layout, language_id, license_scan, mixing, packing, simhash
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_anchor_simhash": simhash.query,
         "op6_vector_best_fit": packing.query,
         "op7_chunk_recipes": chunk_dedup.query,
+        "op8_layout_text": html_layout.query,
         "op9_canonical_licenses": license_scan.query,
         "op10_sign_hashing": embedding_dedup.query,
     }
