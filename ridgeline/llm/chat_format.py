@@ -70,15 +70,16 @@ def reach(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     first = nodes.join(level, ["tree", "node"], "left")
     state = durable(first.select("tree", "node", "up", F.coalesce("up", "node").alias("top"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))
     levels, total = [], state.count()
-    # After k doublings every open pointer spans 2**k messages, so an acyclic tree is done before 2**k exceeds the total.
-    while 1 << len(levels) <= max(total, 1):
-        if state.where("up IS NOT NULL").isEmpty():
-            break
-        levels.append(state.where("up IS NOT NULL").select("tree", "node", "up"))
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        s = state.join(above, ["tree", "up"], "left")
-        state = durable(s.select("tree", "node", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")))
-    return state.where("up IS NULL").drop("up"), levels
+    done, open_ = state.where("up IS NULL"), state.where("up IS NOT NULL")
+    # Only messages whose pointer is still open are joined again. After k doublings it spans 2**k messages, so
+    # an acyclic tree is done before 2**k exceeds the total.
+    while 1 << len(levels) <= max(total, 1) and not open_.isEmpty():
+        levels.append(open_.select("tree", "node", "up"))
+        above = done.union(open_).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        s = open_.join(above, ["tree", "up"])
+        state = durable(s.select("tree", "node", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")))
+        done, open_ = done.union(state.where("up IS NULL")), state.where("up IS NOT NULL")
+    return done.drop("up"), levels
 
 
 def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
