@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import chat_format, chunk_dedup, embedding_dedup, html_layout, language_id, license_scan, mixing, packing, simhash
+from ridgeline.llm import chat_format, chunk_dedup, embedding_dedup, html_layout, language_id, license_scan, mixing, packing, simhash, weak_quality
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_cross_parsing": language_id.query,
         "op3_reply_trees": chat_format.query,
         "op4_anchor_simhash": simhash.query,
+        "op5_weak_label_quality": weak_quality.query,
         "op6_vector_best_fit": packing.query,
         "op7_chunk_recipes": chunk_dedup.query,
         "op8_layout_text": html_layout.query,
