@@ -26,7 +26,7 @@ GOOD, BAD, NONE = "+", "-", "0"
 class Settings:
     """rows: texts in the training sample; words: of one such text, from a place that depends on its id."""
 
-    rows: int = 8000
+    rows: int = 3000
     words: int = 1500
     bits: int = 12
     steps: int = 150
@@ -225,7 +225,7 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """doc_id, votes, posterior, score for every row, row for row.
+    """doc_id, votes, posterior, score, kept (score of 0.5 or more) for every row, row for row.
 
     posterior: of being good, from the votes alone. score: of the trained scorer over the whole text, 0 for a
     null text or one without words. Equal texts get equal answers. An empty table gives an empty result.
@@ -234,7 +234,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settin
     counted = durable(seen.groupBy("votes").agg(F.count("*").alias("n")))
     patterns = {r["votes"]: r["n"] for r in counted.toLocalIterator()}  # at most 3 ** len(LABELLERS)
     if not patterns:
-        return seen.select("doc_id", "votes", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"))
+        return seen.select("doc_id", "votes", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     prior, table_ = fit_labellers(patterns)
     keys = sorted(patterns)
     post = dict(zip(keys, posteriors(np.array([["-0+".index(c) for c in k] for k in keys]), prior, table_).tolist()))
@@ -247,7 +247,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settin
             yield pd.DataFrame({"votes": v, "posterior": [post.get(x, prior) for x in v], "score": [scorer.score(t) for t in batch]})
 
     out = docs.select(F.col(doc_id).alias("doc_id"), judged(F.col(text).cast("string")).alias("j"))
-    return out.select("doc_id", "j.votes", "j.posterior", "j.score")
+    return out.select("doc_id", "j.votes", "j.posterior", "j.score", (F.col("j.score") >= 0.5).alias("kept"))
 
 
 def _sample(docs: DataFrame, doc_id: str, text: str, post: dict[str, float], total: int, settings: Settings) -> list:
