@@ -1,25 +1,336 @@
-"""Registry of the engine's queries and the SQL each must agree with."""
+"""Registry of the engine's queries over the driver's tables, and the SQL each must agree with.
+
+The change log is derived from ``events``: key user:<user_id>, seq event_id, a tombstone for every 'error'.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.plans.state import live
+from ridgeline.functions.frames import frame_bytes
+from ridgeline.operators import lookup
+from ridgeline.operators.segments import block_of, candidates, sparse_index, statistics
+from ridgeline.operators.vector import batch_top_k, top_k
+from ridgeline.plans import state
+from ridgeline.schema import CHANGELOG, PUT_VECTOR
+from ridgeline.sources.store import Store
+from ridgeline.streaming.ingest import ingest
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, op, key, value) derived from events; key as text."""
+    e = _table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", 2).otherwise(0).cast("byte")
+    return e.select(F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"), "value")
+
+
+def _binary(log: DataFrame) -> DataFrame:
+    return log.select("seq", "op", F.col("key").cast("binary").alias("key"), F.col("value").cast("string").cast("binary").alias("value"), F.lit(None).cast("array<float>").alias("vec"))
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.select("seq", F.col("key").cast("string").alias("key"), F.col("value").cast("string").cast("double").alias("value"))
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    """Orders as a change log keyed by customer; every 10th order is a tombstone."""
+    o = _table(spark, sf_dir, "orders")
+    key = F.lpad(F.col("o_custkey").cast("string"), 8, "0")
+    return o.select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 10 == 0, 2).otherwise(0).cast("byte").alias("op"), key.alias("key"), F.col("o_totalprice").alias("value"), (F.col("o_orderkey") % 3).cast("int").alias("run"))
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"), "label")
+
+
+def _workspace(spark: SparkSession) -> str:
+    """A new folder for a query's own store: under spark.checkpoint.dir, or a temporary one in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        base = tempfile.mkdtemp(prefix="ridgeline-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+# Queries
+
+
+def lww_live(spark, d):
+    return state.live(changes(spark, d)).select("key", "seq", "value")
+
+
+def lww_live_narrow(spark, d):
+    return state.latest_narrow(changes(spark, d)).where("op <> 2").select("key", "seq", "value")
+
+
+def tombstoned_keys(spark, d):
+    return state.latest(changes(spark, d)).where("op = 2").select("key", "seq")
+
+
+def delete_then_revive(spark, d):
+    """Puts whose key had just been deleted."""
+    from pyspark.sql import Window
+
+    before = F.lag("op").over(Window.partitionBy("key").orderBy("seq"))
+    return changes(spark, d).withColumn("before", before).where("before = 2 AND op = 0").select("key", "seq", "value")
+
+
+def point_get(spark, d):
+    return lookup.get(changes(spark, d).withColumn("key", F.col("key").cast("binary")), "user:7")
+
+
+def point_get_absent(spark, d):
+    return lookup.get(changes(spark, d).withColumn("key", F.col("key").cast("binary")), "user:none")
+
+
+def point_get_deleted(spark, d):
+    log = changes(spark, d).withColumn("key", F.col("key").cast("binary"))
+    end = log.agg((F.max("seq") + 1).alias("seq")).select("seq", F.lit(2).cast("byte").alias("op"), F.lit("user:7").cast("binary").alias("key"), F.lit(0.0).alias("value"))
+    return lookup.get(log.unionByName(end), "user:7")
+
+
+def multi_get(spark, d):
+    keys = _table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"))
+    return lookup.multi_get(changes(spark, d), keys).select("key", "seq", "value")
+
+
+def range_scan(spark, d):
+    log = changes(spark, d).withColumn("key", F.col("key").cast("binary"))
+    return lookup.key_range(log, "user:1", "user:2").select(F.col("key").cast("string").alias("key"), "seq", "value")
+
+
+def prefix_scan(spark, d):
+    log = changes(spark, d).withColumn("key", F.col("key").cast("binary"))
+    return lookup.key_prefix(log, "user:10").select(F.col("key").cast("string").alias("key"), "seq", "value")
+
+
+def empty_value_vs_tombstone(spark, d):
+    """Purchases write an empty value: still live, unlike a tombstone."""
+    e = _table(spark, d, "events")
+    op = F.when(F.col("event_type") == "error", 2).otherwise(0)
+    value = F.when(F.col("event_type") == "purchase", "").otherwise(F.col("value").cast("decimal(18,2)").cast("string"))
+    log = e.select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("key"), value.alias("value"))
+    return state.live(log).select("key", F.length("value").cast("long").alias("value_length"), (F.col("value") == "").alias("is_empty"))
+
+
+def vector_overwritten_by_plain_put(spark, d):
+    """A second, plain put for every third vector: the whole row is replaced, so the vector is gone."""
+    first = _vectors(spark, d).select(F.col("key").alias("seq"), F.lit(PUT_VECTOR).cast("byte").alias("op"), "key", F.col("label").cast("string").alias("value"), "vec")
+    again = first.where("key % 3 = 0").select((F.col("seq") + 1_000_000_000).alias("seq"), F.lit(0).cast("byte").alias("op"), "key", F.lit("plain").alias("value"), F.lit(None).cast("array<float>").alias("vec"))
+    return state.live(first.unionByName(again)).select("key", "value", F.col("vec").isNotNull().alias("has_vector"))
+
+
+def tier_precedence(spark, d):
+    """Three tiers, newest first, each with one version per key: the first hit wins, a tombstone too."""
+    o = _orders(spark, d)
+    tiers = [state.latest(o.where(F.col("run") == k)).select("key", "seq", "op", "value") for k in (2, 1, 0)]
+    return state.first_hit(tiers).where("op <> 2").select("key", "seq", "value", "tier")
+
+
+def ordered_run(spark, d):
+    """Each version's place within its key in the sorted run, newest first."""
+    from pyspark.sql import Window
+
+    run = state.ordered_run(_orders(spark, d))
+    return run.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))).select("key", "seq", "place")
 
 
-def _events(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(
-        F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"),
-        F.col("event_id").alias("seq"),
-        F.when(F.col("event_type") == "error", 2).otherwise(0).cast("tinyint").alias("op"),
-        F.col("value"),
-    )
+def segment_min_max(spark, d):
+    return statistics(_orders(spark, d), ["run"])
+
+
+def prune_candidates(spark, d):
+    o = _orders(spark, d).withColumn("run", F.floor(F.col("seq") / 1000))
+    return candidates(statistics(o, ["run"]), "00000007").select("run", "min_key", "max_key")
+
+
+def sparse_index_blocks(spark, d):
+    return sparse_index(changes(spark, d), 64)
+
+
+def sparse_index_lookup(spark, d):
+    return block_of(sparse_index(changes(spark, d), 64), "user:42").select("block", "last_key")
+
+
+def merge_runs(spark, d):
+    o = _orders(spark, d)
+    return state.live(state.merge_runs([o.where(F.col("run") == k).drop("run") for k in range(3)])).select("key", "seq", "value")
+
+
+def compact_full(spark, d):
+    return state.compacted(changes(spark, d), True).select("key", "seq", "op")
+
+
+def compact_partial_keeps_tombstones(spark, d):
+    return state.compacted(changes(spark, d), False).select("key", "seq", "op")
+
+
+def compact_low_water(spark, d):
+    return state.compacted(changes(spark, d), True, low_water=5000).select("key", "seq", "op")
+
+
+def shadowed_versions(spark, d):
+    return state.shadowed(changes(spark, d))
+
+
+def dead_vector_bytes(spark, d):
+    """Bytes of vectors that a plain overwrite of every third key leaves behind."""
+    v = _vectors(spark, d).withColumn("bytes", (F.size("vec") * 4).cast("long"))
+    dead = F.when(F.col("key") % 3 == 0, F.col("bytes")).otherwise(0)
+    return v.groupBy("label").agg(F.sum("bytes").alias("all_bytes"), F.sum(dead).alias("dead_bytes"))
+
+
+def vector_lookup(spark, d):
+    """Pointers to a side table of vectors, some of them dangling."""
+    v = _vectors(spark, d)
+    pointers = v.select("key", F.col("key").alias("seq"), "label")
+    blobs = v.where("key % 7 <> 0").select("key", F.col("key").alias("seq"), "vec")
+    return lookup.dereference(pointers, blobs).select("key", "label", "dangling", F.coalesce(F.size("vec"), F.lit(0)).alias("dim"))
+
+
+def wal_frame_bytes(spark, d):
+    log = _binary(changes(spark, d).withColumn("value", F.lit("value")))
+    return log.select("seq", frame_bytes(F.col("key"), F.col("value"), F.lit(False)).cast("long").alias("bytes"))
+
+
+def torn_tail_prefix(spark, d):
+    """Replay stops for good at the first bad frame, here seq 7777 or, on small tables, 777."""
+    log = changes(spark, d)
+    bad = log.where("seq IN (777, 7777)").agg(F.max("seq").alias("bad"))
+    return log.join(F.broadcast(bad), F.col("seq") < F.col("bad")).select("seq", "op")
+
+
+def group_commit_batches(spark, d):
+    batch = F.floor(F.col("event_id") / 1000)
+    return _table(spark, d, "events").groupBy(batch.alias("batch")).agg(F.count("*").alias("requests"), F.min("event_id").alias("first_seq"), F.max("event_id").alias("last_seq"))
+
+
+def _topk(metric):
+    def run(spark, d):
+        v = _vectors(spark, d)
+        q = v.agg(F.min_by("vec", "key")).first()[0]
+        return top_k(v, q, 10, metric).select("key", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def batch_vector_topk(spark, d):
+    v = _vectors(spark, d)
+    queries = v.where("key % 50 = 0").select(F.col("key").alias("query_id"), F.col("vec").alias("query_vec"))
+    return batch_top_k(v, queries, 3).select("query_id", "key", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+def as_of_snapshot(spark, d):
+    return state.as_of(changes(spark, d), 5000).select("key", "seq", "value")
+
+
+def crc32_frames(spark, d):
+    """Checksum of every key and value as text: unsigned."""
+    log = changes(spark, d)
+    return log.select("seq", F.crc32(F.concat_ws("=", "key", F.col("op").cast("string")).cast("binary")).alias("crc"))
+
+
+def stream_ingest_live(spark, d):
+    """events streamed into a store in micro-batches, then its live rows."""
+    path = _workspace(spark)
+    log = _binary(changes(spark, d))
+    log.repartition(4).write.parquet(f"{path}/incoming")
+    store = Store.open(spark, f"{path}/store")
+    stream = spark.readStream.schema(CHANGELOG).option("maxFilesPerTrigger", 2).parquet(f"{path}/incoming")
+    ingest(stream, store, "events", f"{path}/offsets").awaitTermination()
+    return _text(store.refresh().live())
+
+
+def store_compacted_live(spark, d):
+    """Two batches, a flush and a full compaction; the live rows must not change."""
+    store = Store.open(spark, f"{_workspace(spark)}/store")
+    log = _binary(changes(spark, d))
+    store.append(log.where("seq % 2 = 0"))
+    store.append(log.where("seq % 2 = 1"))
+    store.flush()
+    store.compact()
+    return _text(store.live())
+
+
+def bloom_no_false_negative(spark, d):
+    """Every live key is found again in a sorted segment with a bloom filter."""
+    store = Store.open(spark, f"{_workspace(spark)}/store")
+    store.append(_binary(changes(spark, d)))
+    store.flush()
+    keys = state.live(_binary(changes(spark, d))).select("key")
+    return store.multi_get(keys).select(F.col("key").cast("string").alias("key"), "seq")
+
+
+QUERIES = [
+    lww_live, lww_live_narrow, tombstoned_keys, delete_then_revive, point_get, point_get_absent, point_get_deleted, multi_get, range_scan, prefix_scan,
+    empty_value_vs_tombstone, vector_overwritten_by_plain_put, tier_precedence, ordered_run, segment_min_max, prune_candidates, sparse_index_blocks,
+    sparse_index_lookup, merge_runs, compact_full, compact_partial_keeps_tombstones, compact_low_water, shadowed_versions, dead_vector_bytes, vector_lookup,
+    wal_frame_bytes, torn_tail_prefix, group_commit_batches, batch_vector_topk, as_of_snapshot, crc32_frames, stream_ingest_live, store_compacted_live,
+    bloom_no_false_negative,
+]
 
 
 def queries():
-    return {"lww_live": lambda spark, d: live(_events(spark, d)).select("key", "seq", "value")}
+    return {f.__name__: f for f in QUERIES} | {f"vector_topk_{m}": _topk(m) for m in ("cosine", "l2", "dot")}
+
+
+# SQL
+
+_LOG = "WITH c AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 2 ELSE 0 END AS op, 'user:' || user_id AS key, value FROM events)"
+_NEW = f"{_LOG}, n AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
+_ORDERS = "WITH o AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 0 END AS op, lpad(o_custkey::VARCHAR, 8, '0') AS key, o_totalprice AS value, (o_orderkey % 3)::INTEGER AS run FROM orders)"
+_STATS = "count(*) AS rows, min(key) AS min_key, max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq, count(*) FILTER (op = 2) AS tombstones"
+_BLOCKS = f"{_LOG}, b AS (SELECT *, (row_number() OVER (ORDER BY key, seq DESC) - 1) // 64 AS block FROM c), x AS (SELECT block, min(key) AS first_key, max(key) AS last_key, count(*) AS rows FROM b GROUP BY 1)"
+_LIVE = f"{_NEW} SELECT key, seq, value FROM n WHERE op = 0"
+_Q = "(SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
+
+
+def _topk_sql(function: str, direction: str) -> str:
+    return f"SELECT vec_id AS key, round({function}(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY {function}(embedding::DOUBLE[], {_Q}::DOUBLE[]) {direction}, vec_id LIMIT 10"
 
 
 def oracle_sql():
-    return {}
+    return {
+        "lww_live": _LIVE, "lww_live_narrow": _LIVE, "stream_ingest_live": _LIVE.replace("SELECT key, seq, value FROM", "SELECT seq, key, value FROM"), "store_compacted_live": _LIVE,
+        "tombstoned_keys": f"{_NEW} SELECT key, seq FROM n WHERE op = 2",
+        "delete_then_revive": f"{_LOG} SELECT key, seq, value FROM c QUALIFY op = 0 AND lag(op) OVER (PARTITION BY key ORDER BY seq) = 2",
+        "point_get": f"{_NEW} SELECT value FROM n WHERE op = 0 AND key = 'user:7'",
+        "point_get_absent": f"{_NEW} SELECT value FROM n WHERE op = 0 AND key = 'user:none'",
+        "point_get_deleted": f"{_NEW} SELECT value FROM n WHERE false",
+        "multi_get": f"{_NEW} SELECT key, seq, value FROM n WHERE op = 0 AND key IN (SELECT 'user:' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+        "range_scan": f"{_NEW} SELECT key, seq, value FROM n WHERE op = 0 AND key >= 'user:1' AND key < 'user:2'",
+        "prefix_scan": f"{_NEW} SELECT key, seq, value FROM n WHERE op = 0 AND starts_with(key, 'user:10')",
+        "empty_value_vs_tombstone": "WITH c AS (SELECT event_id AS seq, event_type, user_id AS key, CASE WHEN event_type = 'purchase' THEN '' ELSE value::DECIMAL(18,2)::VARCHAR END AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) SELECT key, length(value) AS value_length, value = '' AS is_empty FROM c WHERE event_type <> 'error'",
+        "vector_overwritten_by_plain_put": "SELECT vec_id AS key, CASE WHEN vec_id % 3 = 0 THEN 'plain' ELSE label::VARCHAR END AS value, vec_id % 3 <> 0 AS has_vector FROM embeddings",
+        "tier_precedence": f"{_ORDERS}, t AS (SELECT *, 2 - run AS tier FROM o QUALIFY row_number() OVER (PARTITION BY key, run ORDER BY seq DESC) = 1), h AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY tier) = 1) SELECT key, seq, value, tier::INTEGER AS tier FROM h WHERE op = 0",
+        "ordered_run": f"{_ORDERS} SELECT key, seq, (row_number() OVER (PARTITION BY key ORDER BY seq DESC))::INTEGER AS place FROM o",
+        "segment_min_max": f"{_ORDERS} SELECT run, {_STATS} FROM o GROUP BY run",
+        "prune_candidates": f"{_ORDERS}, s AS (SELECT seq // 1000 AS run, min(key) AS min_key, max(key) AS max_key FROM o GROUP BY 1) SELECT * FROM s WHERE min_key <= '00000007' AND max_key >= '00000007'",
+        "sparse_index_blocks": f"{_BLOCKS} SELECT * FROM x",
+        "sparse_index_lookup": f"{_BLOCKS} SELECT block, last_key FROM x WHERE last_key >= 'user:42' ORDER BY block LIMIT 1",
+        "merge_runs": f"{_ORDERS}, n AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, seq, value FROM n WHERE op = 0",
+        "compact_full": f"{_NEW} SELECT key, seq, op::TINYINT AS op FROM n WHERE op = 0",
+        "compact_partial_keeps_tombstones": f"{_NEW} SELECT key, seq, op::TINYINT AS op FROM n",
+        "compact_low_water": f"{_NEW} SELECT key, seq, op::TINYINT AS op FROM n WHERE op = 0 OR seq > 5000",
+        "shadowed_versions": f"{_LOG} SELECT key, count(*) AS versions, count(*) - 1 AS dead FROM c GROUP BY key",
+        "dead_vector_bytes": "SELECT label, sum(len(embedding) * 4)::BIGINT AS all_bytes, sum(CASE WHEN vec_id % 3 = 0 THEN len(embedding) * 4 ELSE 0 END)::BIGINT AS dead_bytes FROM embeddings GROUP BY label",
+        "vector_lookup": "SELECT vec_id AS key, label, vec_id % 7 = 0 AS dangling, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE len(embedding)::INTEGER END AS dim FROM embeddings",
+        "wal_frame_bytes": f"{_LOG} SELECT seq, (21 + octet_length(encode(key)) + 5)::BIGINT AS bytes FROM c",
+        "torn_tail_prefix": f"{_LOG} SELECT seq, op::TINYINT AS op FROM c WHERE seq < (SELECT max(seq) FROM c WHERE seq IN (777, 7777))",
+        "group_commit_batches": "SELECT event_id // 1000 AS batch, count(*) AS requests, min(event_id) AS first_seq, max(event_id) AS last_seq FROM events GROUP BY 1",
+        "vector_topk_cosine": _topk_sql("list_cosine_similarity", "DESC"),
+        "vector_topk_l2": _topk_sql("list_distance", "ASC"),
+        "vector_topk_dot": _topk_sql("list_inner_product", "DESC"),
+        "batch_vector_topk": "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS key, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS place FROM p) SELECT query_id, key, round(s, 6) AS score, place FROM r WHERE place <= 3",
+        "as_of_snapshot": f"{_LOG}, n AS (SELECT * FROM c WHERE seq <= 5000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, seq, value FROM n WHERE op = 0",
+        "bloom_no_false_negative": f"{_NEW} SELECT key, seq FROM n WHERE op = 0",
+    }
