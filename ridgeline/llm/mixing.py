@@ -84,17 +84,18 @@ def multipliers(cells: DataFrame, goal: DataFrame, limit: float = 3.0, tolerance
     return state.select("key", "multiplier", "scale", "full", "source_size", "target")
 
 
-def _repair(limit: int) -> Column:
-    """From the array of (octave, size, n, copies) per source and its shortfall in words: copies to add by size.
+def _repair() -> Column:
+    """From the array of (octave, more, fewer) per source and its shortfall in words: copies to add by size.
 
-    From the largest octave down, whole copies of one size per octave take up the shortfall, so that what
-    remains is about half a small document. At most one entry per power of two: about 40.
+    more and fewer are (room, size): the size of that octave to which most copies can be added, and from which
+    most can be taken. From the largest octave down, whole copies of one of them take up the shortfall, so that
+    what remains is about half a small document. At most one step per power of two: about 40.
     """
 
     def step(acc, x):
-        wanted = F.round(acc["gap"] / x["size"]).cast("long")
-        add = F.greatest(-x["copies"], F.least(wanted, limit * x["n"] - x["copies"]))
-        return F.struct((acc["gap"] - add * x["size"]).alias("gap"), F.concat(acc["moves"], F.array(F.struct(x["size"].alias("size"), add.alias("add")))).alias("moves"))
+        to = F.when(acc["gap"] > 0, x["more"]).otherwise(x["fewer"])
+        add = F.greatest(-to["room"], F.least(to["room"], F.round(acc["gap"] / to["size"]).cast("long")))
+        return F.struct((acc["gap"] - add * to["size"]).alias("gap"), F.concat(acc["moves"], F.array(F.struct(to["size"].alias("size"), add.alias("add")))).alias("moves"))
 
     start = F.struct(F.col("gap").alias("gap"), F.expr("cast(array() as array<struct<size:bigint,add:bigint>>)").alias("moves"))
     return F.aggregate(F.reverse(F.sort_array("octaves")), start, step, lambda acc: acc["moves"])
@@ -113,12 +114,12 @@ def whole_copies(cells: DataFrame, solved: DataFrame, limit: int = 3) -> DataFra
     c = c.withColumn("copies", F.col("to") - F.coalesce(F.lag("to").over(Window.partitionBy("key").orderBy(F.col("size").desc())), F.lit(0)))
     c = c.withColumn("copies", F.least(F.greatest("copies", F.lit(0)), limit * F.col("n"))).drop("to", "multiplier", "scale", "rate")
     c = durable(c)
-    room = F.least(limit * F.col("n") - F.col("copies"), F.col("copies"))
     octave = F.floor(F.log2("size"))
-    best = c.where("size > 0 AND NOT full").groupBy("key", octave.alias("octave")).agg(F.max(F.struct(room.alias("room"), "size", "n", "copies")).alias("x"))
-    best = best.groupBy("key").agg(F.collect_list(F.struct("octave", "x.size", "x.n", "x.copies")).alias("octaves"))
+    more, fewer = F.struct((limit * F.col("n") - F.col("copies")).alias("room"), "size"), F.struct(F.col("copies").alias("room"), "size")
+    best = c.where("size > 0 AND NOT full").groupBy("key", octave.alias("octave")).agg(F.max(more).alias("more"), F.max(fewer).alias("fewer"))
+    best = best.groupBy("key").agg(F.collect_list(F.struct("octave", "more", "fewer")).alias("octaves"))
     gap = c.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-    moves = gap.join(best, "key").select("key", F.explode(_repair(limit)).alias("m")).select("key", F.col("m.size").alias("size"), F.col("m.add").alias("add"))
+    moves = gap.join(best, "key").select("key", F.explode(_repair()).alias("m")).select("key", F.col("m.size").alias("size"), F.col("m.add").alias("add"))
     return c.join(moves, ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("add", F.lit(0))).drop("add", "full")
 
 
