@@ -80,6 +80,10 @@ class Code:
     order: int
     distance: int = DISTANCE
 
+    def __post_init__(self) -> None:
+        if not 2 <= self.blocks <= BITS or not (1 << self.order) - 1 <= BITS // self.blocks:
+            raise ValueError("from 2 blocks on, and the Hamming code must fit into a block")
+
     @property
     def reach(self) -> int:
         return self.distance // self.blocks
