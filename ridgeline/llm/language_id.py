@@ -8,7 +8,6 @@ step together.
 
 from __future__ import annotations
 
-import io
 import math
 import zlib
 from array import array
@@ -72,8 +71,11 @@ def symbols(text: str, table_: np.ndarray) -> np.ndarray:
 
 
 def suffix_automaton(s: np.ndarray) -> np.ndarray:
-    """Transitions (states x SYMBOLS, -1 for none) of the automaton that knows every substring of s."""
-    most, width = 2 * len(s) + 1, SYMBOLS
+    """Transitions (states x SYMBOLS, -1 for none) of the automaton that knows every substring of s.
+
+    The last state has no transitions: where a parse stands before its first symbol and after an unknown one.
+    """
+    most, width = 2 * len(s) + 2, SYMBOLS
     step = array("i", [-1]) * (most * width)
     length, link, made, last = [0] * most, [-1] * most, 1, 0
     for c in s.tolist():
@@ -96,7 +98,7 @@ def suffix_automaton(s: np.ndarray) -> np.ndarray:
                 step[p * width + c] = twin
                 p = link[p]
         last = new
-    return np.frombuffer(step, np.int32).reshape(most, width)[:made].copy()
+    return np.frombuffer(step, np.int32).reshape(most, width)[: made + 1].copy()
 
 
 @dataclass
@@ -105,16 +107,15 @@ class Model:
     letters: np.ndarray
     automata: list[np.ndarray]
 
-    def pack(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, languages=np.array(self.languages), letters=self.letters, **{f"a{k}": a for k, a in enumerate(self.automata)})
-        return zlib.compress(out.getvalue(), 1)
+    def pack(self) -> tuple:
+        """What is broadcast: each table is compressed by itself, so that no second copy of all is held."""
+        return (self.languages, zlib.compress(self.letters, 1), [zlib.compress(a, 1) for a in self.automata])
 
     @staticmethod
-    def unpack(data: bytes) -> Model:
-        f = np.load(io.BytesIO(zlib.decompress(data)))
-        languages = f["languages"].tolist()
-        return Model(languages, f["letters"], [f[f"a{k}"] for k in range(len(languages))])
+    def unpack(data: tuple) -> Model:
+        languages, letters, automata = data
+        tables = [np.frombuffer(zlib.decompress(a), np.int32).reshape(-1, SYMBOLS) for a in automata]
+        return Model(languages, np.frombuffer(zlib.decompress(letters), np.uint8), tables)
 
 
 def fit(samples: dict[str, list[str]], bounds: Bounds = Bounds()) -> Model:
@@ -156,15 +157,16 @@ def phrases(texts: list[np.ndarray], model: Model, stretch: int = 1024) -> np.nd
     owner, sizes = owner[order], sizes[order]
     live = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")  # columns that have a symbol at each step
     for language, step in enumerate(model.automata):
-        flat, root = step.ravel(), step[0]
-        state = np.zeros(len(spans), np.int32)
-        count = np.ones(len(spans), np.int32)
+        nowhere = len(step) - 1
+        flat, root = step.ravel(), np.where(step[0] < 0, nowhere, step[0]).astype(np.int32)
+        state = np.full(len(spans), nowhere, np.int32)
+        count = np.zeros(len(spans), np.int32)
         for row, n in zip(grid, live.tolist()):
             c = row[:n]
             to = flat.take(state[:n] * SYMBOLS + c)
             miss = np.flatnonzero(to < 0)
             if len(miss):
-                to[miss] = np.maximum(root.take(c[miss]), 0)
+                to[miss] = root.take(c[miss])
                 count[miss] += 1
             state[:n] = to
         np.add.at(out[:, language], owner, count)
@@ -235,7 +237,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     the language with most training rows. Columns of docs named lang_pred or score are replaced.
     """
     data = model.pack()
-    mark, shared = zlib.crc32(data), docs.sparkSession.sparkContext.broadcast(data)  # bounded by Bounds
+    mark, shared = zlib.crc32(b"".join([data[1], *data[2]])), docs.sparkSession.sparkContext.broadcast(data)  # bounded by Bounds
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
