@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import chunk_dedup, language_id, mixing, packing, simhash
 from ridgeline.llm.common import shared_dir, table
+from ridgeline.sources.files import Folder
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. The tables between stages are in the session's shared folder."""
+    """The rows of the last stage. The tables between stages are in the session's shared folder; all but the one
+    that the result is read from are removed again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    path, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        if before:
+            Folder(spark, path).remove(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
