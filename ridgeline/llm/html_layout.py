@@ -39,10 +39,10 @@ IN_HEAD = frozenset("base link meta title style script template noscript".split(
 SCOPE = frozenset("html body table td th caption button object template".split())
 
 #: Deeper elements become siblings, as browsers do at a depth of this order; no text is lost.
-DEPTH = 256
+DEPTH = 128
 
 _TOKEN = re.compile(
-    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</[^>]*>
+    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</[^>]*(?:>|\Z)
     |<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[\s/]+|[^\s/>=][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*))?|=)*+)>
     |<(?P<loose>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)(?:>|\Z)""",
     re.S | re.X,

@@ -43,6 +43,8 @@ def test_edges():
     assert render("<a " + "x=1 " * 50_000 + ">t") == "t"
     assert render('<a href="' + "x" * 100_000 + "t").strip() != None  # noqa: E711  an attribute that never ends
     assert render("<" * 50_000) == "<" * 50_000
+    for part in ("</", "<a ", "<!", "<a '", '<a x="', "<title>", "<!--x", "<![CDATA[", "&", "<a b=<", "<table>", "<ul><li>", "a </p>"):
+        render(part * 100_000)  # in linear time
 
 
 def test_no_visible_text_is_lost():
