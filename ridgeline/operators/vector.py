@@ -1,42 +1,104 @@
-"""Exact nearest vectors among live rows. The reference contract leaves the metric open; here it is a parameter."""
+"""Exact nearest vectors among live rows. The reference contract leaves the metric open; here it is a parameter.
+
+Scores are matrix products over Arrow batches in double precision: higher-order SQL functions are interpreted
+element by element and take many times as long (`ridgeline.functions.vectors` has them for pairs of columns).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.vectors import score
+from ridgeline.functions.vectors import METRICS
 
-#: Query vectors per block: what is broadcast at a time is at most this many vectors.
+#: Query vectors per block: what a task gets at a time is at most this many vectors.
 BLOCK = 1024
 
 
+def _scores(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """(rows x queries); NaN where a cosine is undefined."""
+    if metric == "l2":
+        # Differences, not the expanded square: near-equal vectors keep their digits.
+        return np.stack([np.sqrt(((rows - q) ** 2).sum(axis=1)) for q in queries], axis=1)
+    product = rows @ queries.T
+    if metric == "cosine":
+        norms = np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(queries, axis=1)[None, :]
+        product = np.divide(product, norms, out=np.full_like(product, np.nan), where=norms > 0)
+    return product
+
+
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, width))
+
+
 def top_k(rows: DataFrame, query: list[float], k: int, metric: str = "cosine", key: str = "key", vec: str = "vec") -> DataFrame:
-    """rows with score, the k nearest first; ties by key. Rows without a vector, or of another length, are skipped."""
-    if k <= 0:
+    """rows with score, the k nearest first; ties by key. Rows without a vector, or of another length, are skipped,
+    and so are zero vectors with cosine."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    if k <= 0 or not query:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.where(F.col(vec).isNotNull()).withColumn("score", score(F.col(vec), q, metric)).where("score IS NOT NULL")
+    q = np.array([query], np.float64)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(_scores(_matrix(batch, q.shape[1]), q, metric)[:, 0])
+
+    fit = rows.where(F.size(vec) == len(query))
+    scored = fit.withColumn("score", score(F.col(vec).cast("array<double>"))).where("score IS NOT NULL AND NOT isnan(score)")
     return scored.orderBy(F.col("score") if metric == "l2" else F.col("score").desc(), key).limit(k)
 
 
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "key", vec: str = "vec", query_id: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
-    """(query_id, key, score, place): the k nearest rows of every query vector.
+    """(query_id, key, score, place): the k nearest rows of every query vector; rules as in top_k.
 
-    Queries are compared with all rows in blocks, each broadcast in turn; per query a task keeps k rows before
-    the shuffle.
+    Queries are compared with all rows in blocks of at most BLOCK. A task keeps k rows per query and batch; the
+    final ranking sees only those.
     """
-    base = rows.where(F.col(vec).isNotNull()).select(F.col(key).alias("key"), F.col(vec).alias("vec"))
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec")).where("query_vec IS NOT NULL")
-    blocks = max(1, -(-wanted.count() // BLOCK))
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    base = rows.where(F.size(vec) > 0).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
+    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("query_vec")).where("size(query_vec) > 0")
+    kinds = base.schema["key"].dataType.simpleString(), wanted.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kinds[1]}, key {kinds[0]}, score double"
+    empty = rows.sparkSession.createDataFrame([], schema)
+    found = [empty]
+    block: list = []
+    for r in wanted.toLocalIterator():  # the query set is stated by the caller; one block at a time is held
+        block.append((r["query_id"], r["query_vec"]))
+        if len(block) == BLOCK:
+            found.append(base.mapInPandas(_nearest(block, k, metric), schema))
+            block = []
+    if block:
+        found.append(base.mapInPandas(_nearest(block, k, metric), schema))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
     nearest = F.col("score") if metric == "l2" else F.col("score").desc()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(nearest, "key"))
-    out = None
-    for b in range(blocks):
-        # Several small blocks rather than one of unknown size: a hash deals queries evenly.
-        part = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else wanted
-        pairs = base.join(F.broadcast(part), F.size("vec") == F.size("query_vec"))
-        found = pairs.select("query_id", "key", score(F.col("vec"), F.col("query_vec"), metric).alias("score")).where("score IS NOT NULL")
-        found = found.withColumn("place", place).where(F.col("place") <= k)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return every.withColumn("place", place).where(F.col("place") <= k)
+
+
+def _nearest(block: list, k: int, metric: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        widths = {len(v) for _, v in block}
+        sets = {w: ([i for i, v in block if len(v) == w], np.array([v for _, v in block if len(v) == w])) for w in widths}
+        for df in frames:
+            sizes = df["vec"].map(len)
+            for w, (ids, q) in sets.items():
+                part = df[sizes == w].sort_values("key", kind="stable")  # ties go to the smaller key
+                if not len(part) or k <= 0:
+                    continue
+                s = _scores(_matrix(part["vec"], w), q, metric)
+                cost = np.where(np.isnan(s), np.inf, s if metric == "l2" else -s)
+                best = np.argsort(cost, axis=0, kind="stable")[:k]
+                column = np.broadcast_to(np.arange(len(ids)), best.shape)
+                legal = np.isfinite(cost[best, column])
+                yield pd.DataFrame({"query_id": [ids[c] for c in column[legal]], "key": part["key"].to_numpy()[best[legal]], "score": s[best, column][legal]})
+
+    return run

@@ -225,7 +225,7 @@ def _topk(metric):
 
 def batch_vector_topk(spark, d):
     v = _vectors(spark, d)
-    queries = v.where("key % 50 = 0").select(F.col("key").alias("query_id"), F.col("vec").alias("query_vec"))
+    queries = v.where("key % 20 = 0").select(F.col("key").alias("query_id"), F.col("vec").alias("query_vec"))
     return batch_top_k(v, queries, 3).select("query_id", "key", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
@@ -330,7 +330,7 @@ def oracle_sql():
         "vector_topk_cosine": _topk_sql("list_cosine_similarity", "DESC"),
         "vector_topk_l2": _topk_sql("list_distance", "ASC"),
         "vector_topk_dot": _topk_sql("list_inner_product", "DESC"),
-        "batch_vector_topk": "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS key, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS place FROM p) SELECT query_id, key, round(s, 6) AS score, place FROM r WHERE place <= 3",
+        "batch_vector_topk": "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS key, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS place FROM p) SELECT query_id, key, round(s, 6) AS score, place FROM r WHERE place <= 3",
         "as_of_snapshot": f"{_LOG}, n AS (SELECT * FROM c WHERE seq <= 5000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, seq, value FROM n WHERE op = 0",
         "bloom_no_false_negative": f"{_NEW} SELECT key, seq FROM n WHERE op = 0",
     }
