@@ -116,21 +116,24 @@ def _spans(turns: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def format_paths(paths: DataFrame, messages: DataFrame, trained: str = TRAINED) -> DataFrame:
-    """(tree, path, turns, conversation, loss): one row per path; loss lists the spans that count for training."""
+def format_paths(paths: DataFrame, messages: DataFrame, trained: str = TRAINED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(tree, path, turns, conversation, loss): one row per path; loss lists the spans that count for training.
+
+    keep: columns of messages that are the same for all messages of a tree and go along with it.
+    """
     text, role = escaped(F.col("text")), escaped_role(F.col("role"))
-    turns = paths.join(messages.select("tree", "node", role.alias("role"), text.alias("text"), F.coalesce(F.col("role") == trained, F.lit(False)).alias("trained")), ["tree", "node"])
+    turns = paths.join(messages.select("tree", "node", *keep, role.alias("role"), text.alias("text"), F.coalesce(F.col("role") == trained, F.lit(False)).alias("trained")), ["tree", "node"])
     head = F.length("role") + 5
     turn = F.struct(
         "position", F.concat(F.lit("### "), "role", F.lit("\n"), "text", F.lit("</turn>\n")).alias("turn"),
         F.struct((head + F.length("text") + 8).alias("size"), head.alias("head"), F.length("text").alias("body"), "trained").alias("shape"),
     )
-    block = F.floor(F.col("position") / BLOCK)
-    blocks = turns.groupBy("tree", "path", block.alias("block")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    blocks = blocks.select("tree", "path", F.struct("block", F.array_join("turns.turn", "").alias("text"), F.col("turns.shape").alias("shapes")).alias("block"))
-    whole = blocks.groupBy("tree", "path").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    key, block = ("tree", "path", *keep), F.floor(F.col("position") / BLOCK)
+    blocks = turns.groupBy(*key, block.alias("block")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    blocks = blocks.select(*key, F.struct("block", F.array_join("turns.turn", "").alias("text"), F.col("turns.shape").alias("shapes")).alias("block"))
+    whole = blocks.groupBy(*key).agg(F.sort_array(F.collect_list("block")).alias("blocks"))
     shapes = F.flatten("blocks.shapes")
-    return whole.select("tree", "path", F.size(shapes).cast("long").alias("turns"), F.array_join("blocks.text", "").alias("conversation"), F.pandas_udf(_spans, "array<struct<start:long,stop:long>>")(shapes).alias("loss"))
+    return whole.select(*key, F.size(shapes).cast("long").alias("turns"), F.array_join("blocks.text", "").alias("conversation"), F.pandas_udf(_spans, "array<struct<start:long,stop:long>>")(shapes).alias("loss"))
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
@@ -139,13 +142,12 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     node numbers a conversation's rows by turn (null first), then role and text, without a window over the
     whole conversation: rows are numbered within ranges of turns, ranges by their sizes.
     """
-    span = F.floor(F.col("turn") / BLOCK)
+    span = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 63)))
     keyed = conversations.select(F.col("conv_id").alias("conv"), F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("tree"), span.alias("span"), "turn", "role", "text")
     keyed = keyed.withColumn("number", F.row_number().over(Window.partitionBy("tree", "span").orderBy("turn", "role", "text")))
     sizes = keyed.groupBy("tree", "span").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("tree").orderBy("span").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    starts = sizes.select("tree", F.col("span").alias("from_span"), before.alias("start"))
-    placed = keyed.join(starts, (keyed.tree == starts.tree) & keyed.span.eqNullSafe(starts.from_span)).drop(starts.tree)
+    placed = keyed.join(sizes.select("tree", "span", before.alias("start")), ["tree", "span"])  # dealt like the first window
     node = F.col("start") + F.col("number") - 1
     return placed.select("conv", "tree", node.alias("node"), F.when(node > 0, node - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
@@ -157,9 +159,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     ordered by role and text, and repeated rows all stay. An empty table gives an empty result.
     """
     messages = durable(from_turns(conversations))
-    done = format_paths(best_paths(messages.select("tree", "node", "parent", "score")), messages)
-    names = messages.where("node = 0").select("tree", F.col("conv").alias("conv_id"))
-    return done.join(names, "tree").select("conv_id", "turns", "conversation", "loss")
+    done = format_paths(best_paths(messages.select("tree", "node", "parent", "score")), messages, keep=("conv",))
+    return done.select(F.col("conv").alias("conv_id"), "turns", "conversation", "loss")
 
 
 # Reading back
