@@ -220,16 +220,20 @@ def links(distinct: DataFrame, code: Code | None = None, crowd: int = 4000) -> D
     total = distinct.count()
     code = code or (SMALL if total < LARGE_FROM else LARGE)
 
-    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            fps = df["fp"].to_numpy()
-            for k in range(0, len(fps), 2000):
-                for anchor, fp, home in visits(fps[k : k + 2000], code):
-                    yield pd.DataFrame({"anchor": anchor, "fp": fp, "home": home})
-
-    seats = distinct.select("fp").mapInPandas(explode, "anchor long, fp long, home boolean")
+    def seated(homes_only: bool):
+        def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in frames:
+                fps = df["fp"].to_numpy()
+                for k in range(0, len(fps), 2000):
+                    for anchor, fp, home in visits(fps[k : k + 2000], code):
+                        of = home if homes_only else slice(None)
+                        yield pd.DataFrame({"anchor": anchor[of], "fp": fp[of], "home": home[of]})
+
+        return distinct.select("fp").mapInPandas(explode, "anchor long, fp long, home boolean")
+
+    seats = seated(False)
     crowd = max(crowd, code.blocks * total // 20_000)
-    full = durable(seats.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
+    full = durable(seated(True).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
     if full.isEmpty():
         parted = seats.withColumn("part", F.lit(0))
     else:
