@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import chunk_dedup, language_id, mixing, packing, simhash
-from ridgeline.llm.common import shared_dir, table
+from ridgeline.llm.common import named, shared_dir, table
 from ridgeline.sources.files import Folder
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null or no letters) go; the rest stay as they are."""
     found = language_id.identify(docs, language_id.train(docs))
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*named(docs.columns))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,11 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def named(names: list[str]) -> list[Column]:
+    """Columns by their exact names, whatever characters these have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     if large:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

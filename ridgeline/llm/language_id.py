@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import table
+from ridgeline.llm.common import fresh, named, table
 
 UNDETERMINED = "und"
 #: Symbols: 0 is all that is not a letter (runs count once), then the most frequent letters of the
@@ -260,7 +260,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.withColumn("lang_guess", guess(F.col(text).cast("string"))).select(*kept, "lang_guess.lang_pred", "lang_guess.score")
+    (both,) = fresh(docs, "lang_guess")
+    return docs.withColumn(both, guess(F.col(text).cast("string"))).select(*named(kept), f"{both}.lang_pred", f"{both}.score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import durable, fresh, table, word_count
+from ridgeline.llm.common import durable, fresh, named, table, word_count
 
 CYCLE = (5, 2, 1)
 
@@ -153,7 +153,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     extra = F.when(F.col(start) + F.col(rank) <= F.pmod(cell_copies, n), 1).otherwise(0)
     joined = rows.join(plan, [key, "size", bucket]).withColumn("copies", (F.floor(F.col(cell_copies) / F.col(n)) + extra).cast("long"))
     added = ("size", "source_size", "target", "copies")
-    return joined.select(*[c for c in docs.columns if c.lower() not in added], *added)
+    return joined.select(*named([c for c in docs.columns if c.lower() not in added]), *added)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -163,7 +163,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """
     taken = mix(docs, **options).where("copies > 0")
     (name,) = fresh(taken, "copy")
-    return taken.withColumn(name, F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    return taken.withColumn(name, F.explode(F.expr("sequence(1L, copies)"))).select(*named(docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -91,7 +91,9 @@ def test_spark_trains_only_on_allowed_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "'x' AS lang_pred", "1 AS score", "2 AS lang_guess")
     model = op.train(docs)
     assert set(model.languages) == set(SYLLABLES)
-    out = op.identify(docs, model).select("doc_id", "lang_pred", "score", op.held_out().alias("held_out")).collect()
+    found = op.identify(docs, model)
+    assert found.columns == ["doc_id", "text", "lang", "source", "lang_guess", "lang_pred", "score"] and found.first()["lang_guess"] == 2
+    out = found.select("doc_id", "lang_pred", "score", op.held_out().alias("held_out")).collect()
     assert len(out) == len(rows)
     truth = {i: k for i, (_, k) in enumerate(zip(range(300), random.Random(6).choices(list(SYLLABLES), k=300)))}
     assert all(r["held_out"] == (r["doc_id"] is not None and held(r["doc_id"])) for r in out)

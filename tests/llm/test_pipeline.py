@@ -80,3 +80,12 @@ def test_run_and_empty_input(spark, tmp_path):
 def test_stage_decisions_agree_with_the_operator(spark, stages):
     kept = chunk_dedup.exact_duplicates(stages[1]).where("kept").count()
     assert kept == stages[2].count()
+
+
+def test_odd_extra_columns(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40).withColumns({"a.b": F.lit(1), "keep`key": F.lit(None).cast("string"), "Copies": F.lit(7), "h": F.lit(2.5), "norm": F.array(F.lit(1))})
+    docs = docs.withColumnRenamed("Copies", "group")
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.count() > 0
+    assert pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 40
