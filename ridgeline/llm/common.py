@@ -63,14 +63,23 @@ def named(names: list[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    if large:
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        moved = pairs.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
+def _star(pairs: DataFrame, large: bool, links: int) -> DataFrame:
+    """One round of stars over `links` rows (u, v): every node's neighbours move to its smallest neighbour.
+
+    A node of many links would meet all of them in one task of the join. Such nodes are few (their links sum up
+    to all links), so they are broadcast: at most 5,000, as the limit grows with the links.
+    """
+    both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    low = low.select("u", F.least("u", "m").alias("m"), "n")
+    many = F.col("n") > max(16, 2 * links // 5000)
+    hub = F.broadcast(low.where(many).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+    rows = (both.where("v > u") if large else both).join(hub, F.col("u") == F.col("hub"), "left")
+    rest = rows.where("hub IS NULL").select("u", "v").join(low.where(~many).select("u", "m"), "u").select("v", "m")
+    moved = rows.where("hub IS NOT NULL").select("v", F.col("hub_m").alias("m")).union(rest)
+    moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not large:
+        moved = moved.union(low.select("u", "m"))
     return moved.where("u <> v").distinct()
 
 
@@ -90,4 +99,4 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         mark = seen
-        pairs = durable(_star(_star(pairs, True), False))
+        pairs = durable(_star(_star(pairs, True, seen[0]), False, seen[0]))
