@@ -143,15 +143,22 @@ class Store:
         legal = (o >= 0) & (o < 1 << ORDINAL_BITS)
         return rows.withColumn("seq", base + F.when(legal, o).otherwise(F.raise_error(F.lit("order must be from 0 to 2**32 - 1")).cast("long")))
 
-    def append(self, changes: DataFrame, source: str | None = None, batch_id: int | None = None, next_batch: int | None = None) -> bool:
+    def append(self, changes: DataFrame, source: str | None = None, batch_id: int | None = None, verify: bool = False) -> bool:
         """Publishes change-log rows as one level-0 segment. With source and batch_id, a batch that was published
-        before is skipped, so a replayed stream changes nothing. False if skipped or empty."""
+        before is skipped, so a replayed stream changes nothing. False if skipped or empty.
+
+        (key, seq) must be unique, else it is open which version is newest. verify checks it on the written
+        segment, before anything is visible, at the price of a shuffle of the keys.
+        """
         if source is not None and batch_id is not None and batch_id <= self.manifest.sources.get(source, -1):
             return False
         segment = self._write(changes, 0)
+        if verify and segment and not self._read([segment]).groupBy("key", "seq").count().where("count > 1").isEmpty():
+            self._segments.remove(segment.id)
+            raise ValueError("a key has two versions with one seq; give an order")
         sources = {**self.manifest.sources, **({source: batch_id} if source is not None else {})}
         segments = [*self.manifest.segments, *([segment] if segment else [])]
-        top = max(self.manifest.next_batch, (segment.max_seq >> ORDINAL_BITS) + 1 if segment else 0, next_batch or 0)
+        top = max(self.manifest.next_batch, (segment.max_seq >> ORDINAL_BITS) + 1 if segment else 0)
         self._publish(self._changed(segments=segments, sources=sources, next_batch=top))
         return segment is not None
 

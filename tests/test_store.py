@@ -128,6 +128,15 @@ def test_null_key_is_rejected(spark, store):
     assert everything(store) == {}
 
 
+def test_two_versions_with_one_seq_are_rejected_on_demand(spark, store):
+    twice = rows(spark, [("a", "1"), ("b", "2"), ("a", "3")])
+    with pytest.raises(ValueError, match="order"):
+        store.put_many(twice, verify=True)
+    assert everything(store) == {} and store.vacuum(older_than_seconds=0) == []
+    assert store.put_many(twice, order="n", verify=True)
+    assert store.get("a") == b"3"
+
+
 def test_as_of(store):
     store.put("a", "1")
     at = store.manifest.segments[-1].max_seq
