@@ -17,8 +17,14 @@ from ridgeline.sources.files import Folder
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null or no letters) go; the rest stay as they are."""
-    found = language_id.identify(docs, language_id.train(docs))
+    """Documents without a language (null or no letters) go; the rest stay as they are.
+
+    Where no row is labelled no language can be told, and none is rejected.
+    """
+    model = language_id.train(docs)
+    if not model.languages:
+        return docs
+    found = language_id.identify(docs, model)
     return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*named(docs.columns))
 
 

@@ -89,3 +89,8 @@ def test_odd_extra_columns(spark):
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns and out.count() > 0
     assert pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 40
+
+
+def test_without_labels_nothing_is_rejected(spark):
+    docs = spark.createDataFrame([(1, "a text", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert pipeline.identify_languages(spark, docs, DATA).count() == 2
