@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.plans.state import live
-from ridgeline.schema import key_bytes
+from ridgeline.schema import DELETE, key_bytes
 
 #: A key list of at most this many bytes is sent to every executor; a longer one is shuffled.
 BROADCAST_BYTES = 64 << 20
@@ -22,6 +22,11 @@ def query(log: DataFrame, key) -> DataFrame:
     return live(log.where(F.col("key") == F.lit(key_bytes(key)))).select("value", "vec")
 
 
+def fits_broadcast(keys: DataFrame, key: str = "key") -> bool:
+    """Whether a key list is small enough to be sent to every executor: measured, not estimated."""
+    return (keys.agg(F.sum(F.octet_length(F.col(key).cast("binary")) + 16)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def multi_get(log: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """Live rows of the keys in keys[key]; absent and deleted keys give no row.
 
@@ -29,11 +34,24 @@ def multi_get(log: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     the choice of the newest version needs anyway. Repeated and null keys are dropped.
     """
     wanted = keys.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
-    size = wanted.agg(F.sum(F.octet_length(F.col(key).cast("binary")) + 16)).first()[0] or 0
-    side = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
+    side = F.broadcast(wanted) if fits_broadcast(wanted, key) else wanted
     return live(log.join(side, key, "left_semi"))
 
 
+def live_over_base(base: DataFrame, tail: DataFrame) -> DataFrame:
+    """Live rows of a base with one version per key and a tail of later segments.
+
+    While the tail's keys fit a broadcast, the base is only scanned: rows whose key is not in the tail are final,
+    and no row of the others leaves its place but for the tail's keys. Else all is ranked by key.
+    """
+    keys = tail.select("key").distinct()
+    if not fits_broadcast(keys):
+        return live(base.unionByName(tail))
+    side = F.broadcast(keys)
+    final = base.join(side, "key", "left_anti").where(F.col("op") != DELETE)
+    return final.unionByName(live(base.join(side, "key", "left_semi").unionByName(tail)))
+
+
 def key_range(log: DataFrame, low=None, high=None) -> DataFrame:
     """Live rows with low <= key < high, in unsigned byte order; an extension."""
     out = log

@@ -18,7 +18,7 @@ from ridgeline.operators import lookup
 from ridgeline.operators.segments import statistics
 from ridgeline.operators.vector import batch_top_k, top_k
 from ridgeline.plans.state import as_of, compacted, live, ordered_run
-from ridgeline.schema import CHANGELOG, COLUMNS, deletes, key_bytes, puts
+from ridgeline.schema import CHANGELOG, COLUMNS, DELETE, deletes, key_bytes, puts
 from ridgeline.sources.files import Folder
 
 #: Level-0 segments that make a compaction worthwhile.
@@ -190,7 +190,17 @@ class Store:
     # Reads
 
     def live(self) -> DataFrame:
-        return live(self.changelog())
+        """The newest version of every key that is not deleted.
+
+        A full compaction leaves one version per key (level 2): it is read without a shuffle, and with later
+        segments only their keys are resolved anew.
+        """
+        base = [s for s in self.manifest.segments if s.level == 2]
+        tail = [s for s in self.manifest.segments if s.level != 2]
+        if len(base) != 1:
+            return live(self.changelog())
+        rows = self._read(base)
+        return lookup.live_over_base(rows, self._read(tail)).select(*COLUMNS) if tail else rows.where(F.col("op") != DELETE)
 
     def as_of(self, seq: int) -> DataFrame:
         """The live rows after change seq; exact while compaction has not removed versions up to it."""

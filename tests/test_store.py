@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ridgeline.operators import lookup
 from ridgeline.sources.store import Conflict, Store
 
 
@@ -165,6 +166,26 @@ def test_point_lookup_reaches_the_scan(store):
     assert store.changelog(key="zz").isEmpty(), "no segment can hold it"
 
 
+def test_a_compacted_base_is_not_shuffled(spark, store):
+    store.put_many(rows(spark, [(f"k{i}", "old") for i in range(50)]))
+    store.compact()
+    plan = lambda: store.live()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan() and "Window" not in plan()
+    store.put_many(rows(spark, [("k1", "new"), ("k60", "new")]))
+    store.delete("k2")
+    late = spark.createDataFrame([(0, 0, bytearray(b"k3"), bytearray(b"late"), None)], "seq long, op byte, key binary, value binary, vec array<float>")
+    store.append(late)  # arrives late with an older seq
+    got = {k.decode(): v.decode() for k, (v, _) in everything(store).items()}
+    assert got == {f"k{i}": "old" for i in range(50) if i != 2} | {"k1": "new", "k60": "new"}
+    assert "BroadcastHashJoin" in plan()
+    before = everything(store)
+    lookup.BROADCAST_BYTES, limit = 0, lookup.BROADCAST_BYTES
+    try:
+        assert everything(store) == before
+    finally:
+        lookup.BROADCAST_BYTES = limit
+
+
 def test_compaction_trigger(store):
     for k in range(4):
         assert not store.compact_if_needed()
