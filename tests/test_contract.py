@@ -7,6 +7,26 @@ def test_entry(spark):
     assert contract.entry(spark).count() == 12
 
 
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A session that was started elsewhere, without the repository on its path."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+sys.path.insert(0, {str(Path(contract.__file__).parent)!r})
+import __spark_entry__ as e
+print("ROWS", e.queries()["batch_vector_topk"](spark, e.SMOKE).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "ROWS 75" in out.stdout, out.stderr[-2000:]
+
+
 def test_registry_is_consistent():
     names = contract.queries()
     assert set(contract.oracle_sql()) <= set(names)
