@@ -6,6 +6,7 @@ columns of documents. An empty table passes through every stage.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,22 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import chunk_dedup, language_id, mixing, packing, simhash
 from ridgeline.llm.common import named, shared_dir, table
+from ridgeline.runtime import ship
 from ridgeline.sources.files import Folder
 
 
+def _stage(work):
+    """A stage whose Python workers find the package."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null or no letters) go; the rest stay as they are.
 
@@ -28,21 +42,25 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*named(docs.columns))
 
 
+@_stage
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the longest original stays, then the smallest doc_id."""
     return chunk_dedup.drop_exact_duplicates(docs)
 
 
+@_stage
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
     return simhash.drop_near_duplicates(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, from not at all to three times."""
     return mixing.mixed(docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
     return packing.packed(docs)
