@@ -1,6 +1,6 @@
 """Licence scans by canonical digest lookup.
 
-A text and every known licence are brought to one canonical form (case, copyright lines, punctuation,
+A text and every known licence are brought to one canonical form (case, copyright notices, punctuation,
 white space, equivalent spellings), and whole texts are joined with the known licences on its digest. Single
 lines of a text can be looked up the same way, for notices that stand alone in a line.
 """
@@ -33,15 +33,28 @@ WORDS = {
 #: The same for several words, after WORDS.
 PHRASES = [("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("sub license", "sublicense"), ("per cent", "percent")]
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright|all rights reserved|\(c\)|©)([^0-9a-z_\n][^\n]*)?$"
-
-_copyright_line = re.compile(COPYRIGHT_LINE)
+#: A year, or the place for one in a template.
+_YEAR = r"[<\[{(]?(?:(?:19|20)[0-9]{2}(?![0-9a-z_])|yyyy|year)"
+_MARK = r"(?:\(c\)|©|&copy;)"
+#: Lines that are a notice. A line of body text that merely begins with "copyright" is none, nor is a list item "(c)" or a
+#: line too long for a notice: a text may be wrapped anywhere. SQL has the wider COPYRIGHT_LINE; on the given tables both
+#: find the same lines.
+NOTICE_LINE = rf"""(?mx)^[ \t\#*/;-]*(?:
+    (?:copyright|copr\.)[ \t:,]*(?:{_MARK}|{_YEAR}|by(?![0-9a-z_]))[^\n]{{0,300}}
+    |{_MARK}[ \t:,]*(?:copyright(?![0-9a-z_])|{_YEAR})[^\n]{{0,300}}
+    |©[^\n]{{0,300}}
+    |(?:copyright|{_MARK})[^0-9a-z_\n][^\n]{{0,300}}(?<![0-9a-z_])all[ ]rights[ ]reserved[^0-9a-z_\n]*
+    |all[ ]rights[ ]reserved[^0-9a-z_\n]*(?:(?:{_MARK}|copyright[ \t:,]*(?:{_MARK}|{_YEAR})|{_YEAR}|by(?![0-9a-z_]))[^\n]{{0,300}})?
+    )$"""
+
+_notice_line = re.compile(NOTICE_LINE)
 _no_word = re.compile(r"[\W_]+")
 
 
 def canonical(text: str | None) -> str:
     """Lower-case words of letters and digits with single spaces; None counts as empty."""
     t = (text or "").lower().replace("\r\n", "\n").replace("\r", "\n")
-    t = _copyright_line.sub("", t)
+    t = _notice_line.sub("", t)
     t = " ".join([WORDS.get(w, w) for w in _no_word.sub(" ", t).split(" ") if w])
     for old, new in PHRASES:
         t = t.replace(old, new)
@@ -62,7 +75,7 @@ def scan(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """docs with license_digest and license_id, null where the whole text is no known licence.
 
     Of several ids with one digest the smallest counts. A text that is empty in canonical form (null, blank,
-    copyright lines only) matches nothing. Rows stay one for one; columns of docs with the added names are replaced.
+    copyright notices only) matches nothing. Rows stay one for one; columns of docs with the added names are replaced.
     """
 
     @F.pandas_udf("string")

@@ -1,3 +1,6 @@
+import textwrap
+
+import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.llm import license_scan as op
@@ -35,3 +38,27 @@ def test_scan(spark):
 def test_ids_with_one_digest(spark):
     known = op.known_licenses(spark, {"b": "Some Licence", "a": "some license!"})
     assert [r["license_id"] for r in op.scan(spark.createDataFrame([(1, "SOME LICENSE")], "doc_id long, text string"), known).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("name", sorted(KNOWN))
+def test_wrapping_does_not_matter(name):
+    want = op.canonical(KNOWN[name])
+    for words in (KNOWN[name], KNOWN[name].upper()):
+        for width in [*range(20, 131), 1_000_000]:
+            wrapped = textwrap.fill(" ".join(words.split()), width, break_long_words=False, break_on_hyphens=False)
+            assert op.canonical(wrapped) == want, width
+            assert op.canonical("Copyright (c) 2020 A. Holder\n\n" + wrapped) == want, width
+    assert "liable for any claim" in op.canonical(KNOWN["MIT"])
+
+
+def test_only_notices_are_removed():
+    for line in (
+        "Copyright 2020 X", "copyright (C) X", "Copyright: © 2020", "Copyright by X", "Copyright [yyyy] [name of copyright owner]", "Copyright (c) <year> <owner>", "(c) 2011 X", "(C) Copyright X", "© X",
+        " * Copyright X. All rights reserved.", "All rights reserved.", "All Rights Reserved, (c) X", "# All rights reserved by X",
+    ):
+        assert op.canonical(f"a\n{line}\nb") == "a b", line
+    for line in (
+        "copyright holders be liable", "copyright notice and this permission notice", "(c) You must retain all notices", "copyright. All other terms", "Copyright bylaws", "copyright 20 times", "copyright 20201 x",
+        "all rights reserved to the states", "Copyright 2020 X. " + "body text " * 50,
+    ):
+        assert len(op.canonical(f"a\n{line}\nb").split()) >= 4, line
