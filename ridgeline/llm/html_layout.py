@@ -38,6 +38,8 @@ ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "select"}
 IN_HEAD = frozenset("base link meta title style script template noscript".split())
 SCOPE = frozenset("html body table td th caption button object template".split())
 
+#: Width in px of the screen that media queries are answered for.
+SCREEN = 1280
 #: Deeper elements become siblings, as browsers do at a depth of this order; no text is lost.
 DEPTH = 128
 
@@ -48,9 +50,12 @@ _TOKEN = re.compile(
     re.S | re.X,
 )
 _ATTR = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
-_HIDES = re.compile(r"display\s*:\s*none", re.I)
+_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_CSS_PART = re.compile(r"""[{};]|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""", re.S)
+_SELECTOR = re.compile(r"[.#]?[\w-]+")
+_MEDIA_WIDTH = re.compile(r"\(\s*(min|max)-(?:device-)?width\s*:\s*(\d+(?:\.\d+)?)(px|r?em)\s*\)")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -158,28 +163,116 @@ def parse(html: str) -> Node:
 # Visibility
 
 
-def hidden_selectors(root: Node) -> frozenset[str]:
-    """Simple selectors (tag, .class, #id) that a page's own style sheets set to display: none."""
-    out, todo = set(), [root]
-    while todo:
-        node = todo.pop()
-        if node.tag == "style":
-            for selectors, body in _RULE.findall("".join(x for x in node.children if isinstance(x, str))):
-                if _HIDES.search(body):
-                    out.update(s for s in (x.strip() for x in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", s))
-        todo.extend(x for x in node.children if isinstance(x, Node))
-    return frozenset(out)
+def _on_screen(query: str) -> bool:
+    """If a media query list holds on a screen SCREEN wide. A list of what is not understood does not hold."""
+
+    def holds(part: str) -> bool | None:
+        if part in ("all", "screen", "only screen", "only all"):
+            return True
+        if re.fullmatch(r"(only\s+)?[a-z-]+", part):
+            return False
+        m = _MEDIA_WIDTH.fullmatch(part)
+        if m is None:
+            return None
+        width = float(m[2]) * (1 if m[3] == "px" else 16)
+        return SCREEN >= width if m[1] == "min" else SCREEN <= width
+
+    def one(text: str) -> bool:
+        text = " ".join(text.split())
+        negated, text = text.startswith("not "), text.removeprefix("not ")
+        values = [holds(p) for p in text.split(" and ")]
+        if None in values:  # unknown; false all the same if another part is
+            return negated and False in values
+        return all(values) != negated
+
+    return not query.strip() or any(one(x) for x in query.lower().split(","))
+
+
+def _supported(condition: str) -> bool:
+    """If an @supports condition holds: single declarations of the usual layouts do, what is not understood does not."""
+    text = " ".join(condition.lower().split())
+    negated, text = text.startswith("not "), text.removeprefix("not ")
+    known = re.fullmatch(r"\(\s*display\s*:\s*(grid|flex|block|inline-block|inline|none|table)\s*\)", text)
+    return bool(known) and not negated
+
+
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that apply on a screen, in order; in time linear in css."""
+    css = _CSS_COMMENT.sub(" ", css)
+    start, blocks, off = 0, [], 0  # blocks: (prelude, whether its rules apply, whether it holds rules)
+    for m in _CSS_PART.finditer(css):
+        part = m[0]
+        if part == "{":
+            prelude = css[start : m.start()].strip()
+            name = re.match(r"@?[\w-]*", prelude)[0].lower()
+            if prelude.startswith("@"):
+                rest = prelude[len(name) :].strip()
+                applies = _on_screen(rest) if name == "@media" else _supported(rest) if name == "@supports" else name == "@layer"
+                blocks.append((prelude, applies, True))
+            else:
+                applies = not blocks or blocks[-1][2]  # a rule inside a rule is of no simple selector
+                blocks.append((prelude, applies, False))
+            off += not applies
+            start = m.end()
+        elif part == "}":
+            if blocks:
+                prelude, applies, group = blocks.pop()
+                off -= not applies
+                if not group and applies and not off:
+                    yield prelude, css[start : m.start()]
+            start = m.end()
+        elif part == ";" and (not blocks or blocks[-1][2]):  # @import, @charset
+            start = m.end()
+    if blocks and not blocks[-1][2] and not off:  # the last rule that is not closed
+        yield blocks[-1][0], css[start:]
+
+
+def _display(declarations: str) -> tuple[bool, bool] | None:
+    """(important, hides) of the display declaration that counts."""
+    out = None
+    for value, important in _DISPLAY.findall(declarations):
+        if out is None or bool(important) >= out[0]:
+            out = (bool(important), value.lower() == "none")
+    return out
 
 
-def _displayed(node: Node, selectors: frozenset[str]) -> bool:
+def display_rules(root: Node) -> dict[str, tuple]:
+    """What a page's own style sheets say of display, by simple selector (tag, .class, #id), if any of them hides.
+
+    The value orders the rules as a browser does: important, kind of selector, place; whether it hides comes last.
+    Style sheets and blocks that are not for a screen (print, narrow screens, unknown conditions) do not count.
+    """
+    out: dict[str, tuple] = {}
+    todo, place = [root], 0
+    while todo:
+        node = todo.pop()
+        if node.tag == "style" and _on_screen(node.attrs.get("media", "")):
+            for selectors, body in _rules("".join(x for x in node.children if isinstance(x, str))):
+                said = _display(body)
+                for s in (x.strip() for x in selectors.split(",")) if said else ():
+                    if _SELECTOR.fullmatch(s):
+                        place += 1
+                        kind = 2 if s[0] == "#" else 1 if s[0] == "." else 0
+                        s = s if kind else s.lower()
+                        out[s] = max(out.get(s, (False, 0, 0, False)), (said[0], kind, place, said[1]))
+        todo.extend(x for x in reversed(node.children) if isinstance(x, Node))
+    return out if any(x[3] for x in out.values()) else {}
+
+
+def _displayed(node: Node, selectors: dict[str, tuple]) -> bool:
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input"):
         return False
     if not a and not selectors:
         return True
-    if _HIDES.search(a.get("style", "")):
-        return False
-    return not (selectors and (node.tag in selectors or f"#{a.get('id')}" in selectors or any(f".{c}" in selectors for c in a.get("class", "").split())))
+    own = _display(a["style"]) if "style" in a else None
+    if not selectors:
+        return not (own and own[1])
+    names = [node.tag, f"#{a.get('id')}", *(f".{c}" for c in a.get("class", "").split())]
+    rules = [selectors[x] for x in names if x in selectors]
+    if own:
+        rules.append((own[0], 3, 0, own[1]))
+    return not (rules and max(rules)[3])
 
 
 # Rendering
@@ -243,7 +336,7 @@ class _Page:
         return "\n".join(x.rstrip() for x in self.lines).strip("\n")
 
 
-def _render(node: Node, page: _Page, selectors: frozenset[str], pre: bool = False, seen: bool = True, depth: int = 0) -> None:
+def _render(node: Node, page: _Page, selectors: dict[str, tuple], pre: bool = False, seen: bool = True, depth: int = 0) -> None:
     number = None
     if node.tag in ("ol",):
         start = node.attrs.get("start", "")
@@ -303,7 +396,7 @@ def _render(node: Node, page: _Page, selectors: frozenset[str], pre: bool = Fals
         page.indent, page.marker = indent, "" if tag == "li" else page.marker if marker else ""
 
 
-def _table(node: Node, page: _Page, selectors: frozenset[str], seen: bool, depth: int) -> None:
+def _table(node: Node, page: _Page, selectors: dict[str, tuple], seen: bool, depth: int) -> None:
     """Rows of cells, columns as wide as their widest line; a cell over several columns takes the first."""
     rows: list[list[list[str]]] = []
 
@@ -360,7 +453,7 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     root, page = parse(html), _Page()
-    _render(root, page, hidden_selectors(root))
+    _render(root, page, display_rules(root))
     return page.text()
 
 

@@ -68,3 +68,49 @@ def test_spark(spark):
 def test_tree_of_implied_tags():
     table = parse("<table><td>a<td>b<tr><td>c").children[0]
     assert [[c.tag for c in row.children] for row in table.children] == [["td", "td"], ["td"]]
+
+
+SHEETS = {
+    "print": ("@media print{.c{display:none}}", True),
+    "print among others": ("p{margin:0}@media print { p{color:red} .c , .d {display:none} } .x{display:none}", True),
+    "narrow screen": ("@media (max-width:600px){.c{display:none}}", True),
+    "narrow screen in em": ("@media only screen and (max-width: 40em){.c{display:none}}", True),
+    "wide screen": ("@media screen and (min-width:600px){.c{display:none}}", False),
+    "screen or print": ("@media print, screen{.c{display:none}}", False),
+    "not print": ("@media not print{.c{display:none}}", False),
+    "not screen": ("@media not screen{.c{display:none}}", True),
+    "unknown condition": ("@media (prefers-color-scheme:dark){.c{display:none}}", True),
+    "nested blocks": ("@media screen{@media print{.c{display:none}}}", True),
+    "nested and shown": ("@media screen{@supports (display:grid){.c{display:none}}}", False),
+    "unsupported": ("@supports not (display:grid){.c{display:none}}", True),
+    "after a print block": ("@media print{.c{display:block}}.c{display:none}", False),
+    "shown again": (".c{display:none}.c{color:red;display:block}", True),
+    "hidden at last": (".c{display:block}.c{display:none}", False),
+    "rule inside a rule": (".a{.c{display:none}}", True),
+    "line break before the condition": ("@media\n(max-width:600px){.c{display:none}}", True),
+    "important": (".c{display:none!important}.c{display:block}", False),
+    "kind of selector": ("#i{display:block}.c{display:none}", True),
+    "shown again for a screen": (".c{display:none}@media screen{.c{display:block}}", True),
+    "shown again in print only": (".c{display:none}@media print{.c{display:block}}", False),
+    "comment": ("/* .c{display:none} */.d{display:none}", True),
+    "import before": ("@import 'x.css';.c{display:none}", False),
+    "braces in a string": ("p::before{content:'}'}.c{display:none}", False),
+    "key frames": ("@keyframes k{from{display:none}to{display:block}}", True),
+    "never closed": (".c{display:none", False),
+}
+
+
+@pytest.mark.parametrize("name", SHEETS)
+def test_style_sheets(name):
+    css, shows = SHEETS[name]
+    assert render(f"<style>{css}</style><p id=i class='b c'>text<p>more") == ("text\n\nmore" if shows else "more")
+
+
+def test_more_style_sheets():
+    hides = ".c{display:none}"
+    assert render(f"<style media=print>{hides}</style><p class=c>text") == "text"
+    assert render(f"<style media=screen>{hides}</style><p class=c>text") == ""
+    assert render(f"<style>{hides}</style><style>.c{{display:block}}</style><p class=c>text") == "text"
+    assert render(f"<style>{hides}</style><p class=c style=display:block>text") == "text"
+    for part in ("@media print{", "a", "a{", "}", "/*", "@x;", "'", "display:none;", ".c{display:none}", "a,", " ", "@media ("):
+        render(f"<style>{part * 100_000}</style>text")  # in linear time
