@@ -51,10 +51,11 @@ _notice_line = re.compile(NOTICE_LINE)
 _no_word = re.compile(r"[\W_]+")
 
 
-def canonical(text: str | None) -> str:
-    """Lower-case words of letters and digits with single spaces; None counts as empty."""
+def canonical(text: str | None, notices: bool = False) -> str:
+    """Lower-case words of letters and digits with single spaces; None counts as empty. With notices they stay."""
     t = (text or "").lower().replace("\r\n", "\n").replace("\r", "\n")
-    t = _notice_line.sub("", t)
+    if not notices:
+        t = _notice_line.sub("", t)
     t = " ".join([WORDS.get(w, w) for w in _no_word.sub(" ", t).split(" ") if w])
     for old, new in PHRASES:
         t = t.replace(old, new)
@@ -65,10 +66,19 @@ def digest(form: str) -> str:
     return hashlib.sha256(form.encode()).hexdigest()
 
 
-def known_licenses(spark, texts: dict[str, str] = KNOWN) -> DataFrame:
-    """(license_id, digest, size): size is the length of the canonical form. The packaged list is fixed and short."""
-    rows = [(k, digest(c := canonical(v)), len(c)) for k, v in texts.items()]
-    return spark.createDataFrame(rows, "license_id string, digest string, size int")
+def known_licenses(spark, texts: dict[str, str] | None = None) -> DataFrame:
+    """(license_id, digest, size), by default of the packaged list: size is the length of the canonical form.
+
+    A text that has notices of its own has a second row, with them: that form does not depend on line breaks.
+    """
+    if texts is None:
+        from ridgeline.llm.license_long_texts import LONG, NOTICES  # not needed by Python workers
+
+        listed = [*KNOWN.items(), *LONG.items(), *NOTICES]
+    else:
+        listed = list(texts.items())
+    rows = {(k, digest(c), len(c)) for k, v in listed for c in (canonical(v), canonical(v, True))}
+    return spark.createDataFrame(sorted(rows), "license_id string, digest string, size int")
 
 
 def scan(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
@@ -78,23 +88,35 @@ def scan(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     copyright notices only) matches nothing. Rows stay one for one; columns of docs with the added names are replaced.
     """
 
-    @F.pandas_udf("string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def both(t: str | None) -> tuple[str | None, str | None]:
+        if not (c := canonical(t)):
+            return None, None
+        whole = digest(canonical(t, True)) if _notice_line.search(t.lower().replace("\r", "\n")) else None
+        return digest(c), whole
+
+    @F.pandas_udf("struct<form: string, whole: string>")
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.Series([digest(c) if (c := canonical(t)) else None for t in batch], dtype=object)
+            yield pd.DataFrame([both(t) for t in batch], columns=["form", "whole"], dtype=object)
 
-    (key,) = fresh(docs, "known_digest")
-    first = known.groupBy(F.col("digest").alias(key)).agg(F.min("license_id").alias("license_id"))
-    rest = docs.drop("license_digest", "license_id").withColumn("license_digest", digests(F.col(text).cast("string")))
-    return rest.join(first, F.col("license_digest") == F.col(key), "left").drop(key)
+    pair, key, other, one, two = fresh(docs, "digests", "known_digest", "other_digest", "known_id", "other_id")
+    first = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    out = docs.drop("license_digest", "license_id").withColumn(pair, digests(F.col(text).cast("string")))
+    out = out.withColumns({"license_digest": F.col(pair)["form"], other: F.col(pair)["whole"]}).drop(pair)
+    out = out.join(F.broadcast(first.select(F.col("digest").alias(key), F.col("license_id").alias(one))), F.col("license_digest") == F.col(key), "left").drop(key)
+    out = out.join(F.broadcast(first.select(F.col("digest").alias(key), F.col("license_id").alias(two))), F.col(other) == F.col(key), "left").drop(key, other)
+    return out.withColumn("license_id", F.coalesce(one, two)).drop(one, two)
 
 
 def scan_lines(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license_id), distinct: lines of a text that are a known notice as a whole.
 
-    Only lines whose canonical form has the length of a known one get a digest; no other can match.
+    Only lines whose canonical form has the length of a known one get a digest; no other can match. Of a list that is
+    not very long the digests themselves are compared at once.
     """
     sizes = {r["size"] for r in known.select("size").distinct().limit(100_000).toLocalIterator()}
+    listed = {r["digest"] for r in known.select("digest").distinct().limit(10_001).toLocalIterator()}
+    listed = listed if len(listed) <= 10_000 else None
 
     @F.pandas_udf("array<string>")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -102,7 +124,8 @@ def scan_lines(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text:
             out = []
             for t in batch:
                 forms = {canonical(x) for x in {*(t or "").replace("\r", "\n").split("\n")}}
-                out.append(sorted({digest(c) for c in forms if c and len(c) in sizes}))
+                found = {digest(c) for c in forms if c and len(c) in sizes}
+                out.append(sorted(found if listed is None else found & listed))
             yield pd.Series(out, dtype=object)
 
     found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(digests(F.col(text).cast("string"))).alias("digest"))

@@ -62,3 +62,19 @@ def test_only_notices_are_removed():
         "all rights reserved to the states", "Copyright 2020 X. " + "body text " * 50,
     ):
         assert len(op.canonical(f"a\n{line}\nb").split()) >= 4, line
+
+
+def test_long_licences_and_notices(spark):
+    from ridgeline.llm.license_long_texts import LONG
+
+    known = op.known_licenses(spark)
+    lines = {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0-line", "Licensed under CC BY 4.0": "CC-BY-4.0-line", "Released under the BSD 3-Clause License": "BSD-3-Clause-line",
+        "This project is licensed under the Mozilla Public License 2.0.": "MPL-2.0-line", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-line",
+    }
+    texts = {k: [v, textwrap.fill(" ".join(v.split()), 61), " ".join(v.split()), "Copyright 2020 X\n" + v] for k, v in LONG.items()}
+    rows = [(k, t) for k, ts in texts.items() for t in ts]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    assert sorted((r["doc_id"], r["license_id"]) for r in op.scan(docs, known).collect()) == sorted((k, k) for k, _ in rows)
+    found = op.scan_lines(spark.createDataFrame([(k, f"a\n{k}\nb") for k in lines], "doc_id string, text string"), known).collect()
+    assert {r["doc_id"]: r["license_id"] for r in found} == lines and len(found) == len(lines)
