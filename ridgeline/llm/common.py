@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of every word definition here: the ASCII characters 9 to 13 and 32.
@@ -24,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         return known.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="ridgeline-")
     context.setCheckpointDir(folder)
@@ -63,6 +64,44 @@ def named(names: list[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def identity(doc_id: Column, text: Column) -> Column:
+    """A digest of doc_id and text, nulls included. Rows of one identity differ in other columns at most."""
+    key = F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+    return F.unhex(F.sha2(F.concat(F.length(key).cast("string"), key, F.coalesce(F.concat(F.lit("="), text.cast("string")), F.lit(""))), 256))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that have one (maps have none)."""
+    return F.xxhash64(*[c for c, f in zip(named(df.columns), df.schema) if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))])
+
+
+def keep_rows(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of docs whose identity is in chosen (identity, distinct), one row of each; columns unchanged.
+
+    Of rows with one identity the least row_hash stays. Ranks are limited before the shuffle, so a row that is
+    repeated a billion times sends one row per task, and texts move once.
+    """
+    mark, place = fresh(docs, "row_identity", "row_place")
+    marked = docs.withColumn(mark, identity(*named([doc_id, text])))
+    ranked = marked.withColumn(place, F.row_number().over(Window.partitionBy(mark).orderBy(row_hash(docs)))).where(F.col(place) == 1)
+    return ranked.join(chosen.select(F.col("identity").alias(mark)), mark, "left_semi").select(*named(docs.columns))
+
+
+def attach(rows: DataFrame, answers: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows with the columns of answers, which has one row per key; weight says how many of rows have the key.
+
+    A key of more than a 2,000th part of all rows would meet them in one task. There are fewer than 2,000 such
+    keys, so their answers are broadcast; the others are joined by key. Both tables must be durable.
+    """
+    total = answers.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(1000, total // 2000)
+    often = answers.where(hot)
+    if often.isEmpty():
+        return rows.join(answers, key)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(answers.where(~hot), key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
 def _star(pairs: DataFrame, large: bool, links: int) -> DataFrame:
     """One round of stars over `links` rows (u, v): every node's neighbours move to its smallest neighbour.
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import connected_components, durable, fresh, table
+from ridgeline.llm.common import attach, connected_components, durable, identity, keep_rows, named, table
 
 BITS = 64
 SEED = 42
@@ -59,14 +59,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with fp a signed long."""
+    """(doc_id, fp, identity) with fp a signed long and the identity of the row."""
 
     @F.pandas_udf("long")
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([fingerprint(t, width) for t in batch], dtype="int64")
 
-    return docs.select(F.col(doc_id).alias("doc_id"), fp(F.col(text).cast("string")).alias("fp"))
+    key, body = named([doc_id, text])
+    return docs.select(key.alias("doc_id"), fp(body.cast("string")).alias("fp"), identity(key, body).alias("identity"))
 
 
 # Anchors
@@ -96,6 +97,8 @@ class Code:
 #: Few visits but wide homes, and many visits but narrow homes; both find every link.
 SMALL, LARGE = Code(3, 4), Code(2, 5)
 LARGE_FROM = 5_000_000
+#: Most rows of a list of split anchors that is broadcast (16 bytes each).
+BROADCAST_ROWS = 100_000
 
 
 @lru_cache(maxsize=8)
@@ -191,8 +194,12 @@ def anchor_links(groups: np.ndarray, fps: np.ndarray, home: np.ndarray, distance
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _links(frames: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame]:
-    """Over rows sorted by anchor and part; holds the open group and one batch."""
+def _links(frames: Iterator[pd.DataFrame], distance: int, most: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Over rows sorted by group, residents first. Holds the open group and one batch.
+
+    Of a group with over `most` rows only the residents are held on: every batch of its visitors meets them, so
+    that memory does not grow with the visitors.
+    """
     held: list[pd.DataFrame] = []
 
     def flush(df: pd.DataFrame) -> pd.DataFrame:
@@ -203,6 +210,11 @@ def _links(frames: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFra
         last = df["group"].iloc[-1]
         if df["group"].iloc[0] == last and (not held or held[-1]["group"].iloc[-1] == last):
             held.append(df)
+            if sum(map(len, held)) > most:
+                whole = pd.concat(held)
+                if not whole["home"].iloc[-1]:  # all residents are here
+                    yield flush(whole)
+                    held = [whole[whole["home"]]]
             continue
         cut = int(np.searchsorted(df["group"].to_numpy(), last))
         yield flush(pd.concat([*held, df.iloc[:cut]]))
@@ -214,8 +226,8 @@ def _links(frames: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFra
 def links(distinct: DataFrame, code: Code | None = None, crowd: int = 4000) -> DataFrame:
     """(a, b): links between the fingerprints in column fp, enough to connect all that are linked.
 
-    An anchor with over `crowd` residents is split: each part has some of the residents and all visitors.
-    Such anchors are at most 20,000 by construction (crowd grows with their number), so their list is broadcast.
+    An anchor with over `crowd` residents is split: each part has about `crowd` of the residents, and the visitors
+    pass by it. The list of such anchors is broadcast only while it is short; a longer one is joined by anchor.
     """
     total = distinct.count()
     code = code or (SMALL if total < LARGE_FROM else LARGE)
@@ -232,23 +244,39 @@ def links(distinct: DataFrame, code: Code | None = None, crowd: int = 4000) -> D
         return distinct.select("fp").mapInPandas(explode, "anchor long, fp long, home boolean")
 
     seats = seated(False)
-    crowd = max(crowd, code.blocks * total // 20_000)
     full = durable(seated(True).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
-    if full.isEmpty():
+    split = full.count()
+    if not split:
         parted = seats.withColumn("part", F.lit(0))
     else:
         own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        parted = seats.join(F.broadcast(full), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        parted = seats.join(F.broadcast(full) if split <= BROADCAST_ROWS else full, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         parted = parted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (F.col("part") == own))
     # Anchors are below 2**35, so the part fits above them.
     keyed = parted.select((F.col("anchor") + F.shiftleft(F.col("part").cast("long"), 36)).alias("group"), "fp", "home")
-    dealt = keyed.repartition("group").sortWithinPartitions("group")
+    dealt = keyed.repartition("group").sortWithinPartitions("group", F.desc("home"))
     return dealt.mapInPandas(lambda frames: _links(frames, code.distance), "a long, b long").distinct()
 
 
 # Near-duplicates
 
 
+def _components(docs: DataFrame, doc_id: str, text: str, code: Code | None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and one row per fingerprint: fp, n (its rows), component_id, keep_identity.
+
+    A document of a component is the first by (null doc_id last, doc_id, identity).
+    """
+    fps = durable(fingerprints(docs, doc_id, text))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "identity"))
+    distinct = durable(fps.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")))
+    component = connected_components(links(distinct, code), "a", "b")
+    placed = distinct.join(component, distinct.fp == component.node, "left")
+    placed = durable(placed.select("fp", "n", "first", F.coalesce("component", "fp").alias("component")))
+    least = durable(placed.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("fps")))
+    named_ = attach(placed.select("fp", "n", "component"), least, "component", "fps")
+    return fps, durable(named_.select("fp", "n", F.col("least.id").alias("component_id"), F.col("least.identity").alias("keep_identity")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", code: Code | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row.
 
@@ -256,21 +284,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are folded first, so a group of copies is one fingerprint to compare. Rows that repeat a doc_id stay;
     null doc_ids count as larger than all others. An empty table gives an empty result.
     """
-    fps = durable(fingerprints(docs, doc_id, text))
-    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    component = connected_components(links(distinct, code), "a", "b")
-    placed = distinct.join(component, distinct.fp == component.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = durable(placed.join(smallest, "component").select("fp", "component_id"))
-    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return fps.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    fps, answers = _components(docs, doc_id, text, code)
+    out = attach(fps.select("doc_id", "fp"), answers.drop("keep_identity"), "fp", "n")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", code: Code | None = None) -> DataFrame:
-    """One document of each group stays: the rows of its smallest doc_id, columns unchanged."""
-    (key,) = fresh(docs, "keep_key")
-    stay = near_duplicates(docs, doc_id, text, code).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(stay, docs[doc_id].eqNullSafe(stay[key]), "left_semi")
+    """Exactly one row of each group stays, that of its smallest doc_id, columns unchanged.
+
+    Of rows with that doc_id and different texts in the group, one stays; of rows that repeat both, one as well.
+    """
+    _, answers = _components(docs, doc_id, text, code)
+    return keep_rows(docs, answers.select(F.col("keep_identity").alias("identity")).distinct(), doc_id, text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

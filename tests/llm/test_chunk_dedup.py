@@ -70,3 +70,16 @@ def test_no_python_on_the_main_path(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     for df in (op.exact_duplicates(docs), op.clashes(docs), op.recipes(docs)):
         assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stage_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "same text here ok", "k"), (1, "same text here ok", "k"), (1, "same text here ok", "other"), (7, "B  B", None), (7, "other text", None), (2, "BB", None), (None, "x", None), (None, "x", None), (None, "y", None), (3, None, None), (4, "", None)]
+    kept = sorted(map(tuple, op.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string, keep_key string").withColumnRenamed("keep_key", "row_identity")).collect()), key=repr)
+    assert [r[:2] for r in kept] == sorted([(1, "same text here ok"), (7, "B  B"), (7, "other text"), (None, "x"), (None, "y"), (3, None)], key=repr)
+
+
+def test_a_hot_group_and_odd_column_names(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc.id"), F.when(F.col("id") % 3 == 0, "copy").otherwise(F.concat(F.lit("t"), "id")).alias("te xt"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    out = op.exact_duplicates(docs, "doc.id", "te xt")
+    assert out.where("keep_id = 0").count() == 1000 == out.where("keep_id = 0").first()["group_size"] and out.count() == 3000
+    assert op.drop_exact_duplicates(docs, "doc.id", "te xt").count() == 2001

@@ -103,3 +103,44 @@ def test_empty_table_and_stage(spark):
     assert op.near_duplicates(docs).count() == 0 and op.drop_near_duplicates(docs).columns == docs.columns
     docs = spark.createDataFrame([(2, "a b c d e", "k"), (1, "a b c d e", "k"), (None, "z", "k")], "doc_id long, text string, keep_key string")
     assert sorted(str(r["doc_id"]) for r in op.drop_near_duplicates(docs).collect()) == ["1", "None"]
+
+
+def test_stage_keeps_one_of_repeated_rows(spark):
+    t = "a b c d e f g h"
+    rows = [(1, t, "x"), (1, t, "x"), (1, t, "y"), (1, t.upper(), "z"), (2, t, "x"), (5, "other words are in here now", "x"), (5, "still other words that are not there", "x"), (None, "and again something else entirely", "x"), (None, "and again something else entirely", "x")]
+    kept = [tuple(r) for r in op.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()]
+    assert sorted(str(r[0]) for r in kept) == ["1", "5", "5", "None"] and len({r[1].lower() for r in kept}) == 4
+
+
+def test_a_crowded_anchor_in_small_memory():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 40, 500)
+    home = np.arange(500) < 60
+    import pandas as pd
+
+    frame = pd.DataFrame({"group": np.ones(500, np.int64), "fp": fps, "home": home})
+    frames = [frame.iloc[k : k + 50] for k in range(0, 500, 50)]
+    got = pd.concat(list(op._links(iter(frames), 14, most=120)))
+    want = {tuple(sorted((int(a), int(b)))) for a in fps[home] for b in fps if a != b and int(a ^ b).bit_count() <= 14}
+
+    def classes(pairs):
+        parent = {int(x): int(x) for x in fps}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            a, b = find(int(a)), find(int(b))
+            parent[max(a, b)] = min(a, b)
+        return {x: find(x) for x in parent}
+
+    found = set(zip(got["a"], got["b"]))
+    assert found <= want | {(x, x) for x in fps.tolist()} and classes(found) == classes(want)
+
+
+def test_hot_fingerprints_and_components(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'one two three four five' ELSE concat('w', id, ' x', id * 7, ' y', id * 13) END AS text")
+    out = op.near_duplicates(docs)
+    assert out.count() == 6000 and out.where("component_id = 0").count() >= 3000
