@@ -14,9 +14,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import durable, fresh, named, table, word_count
+from ridgeline.llm.common import durable, fresh, named, row_hash, table, word_count
 
 CYCLE = (5, 2, 1)
+#: Newton steps per job.
+STEPS = 3
 
 
 def _source_key(source: Column) -> Column:
@@ -49,14 +51,28 @@ def targets(sizes: DataFrame, limit: float = 3.0, cycle: tuple = CYCLE) -> DataF
 
 def _rate(limit: float) -> Column:
     x = F.col("multiplier") * F.col("size") / F.col("scale")
-    return F.when(F.col("full"), F.lit(limit)).when(x >= math.log(limit), F.lit(limit)).otherwise(F.exp(x))
+    return F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("full"), F.lit(limit)).when(x >= math.log(limit), F.lit(limit)).otherwise(F.exp(x))
+
+
+def _newton(cells: DataFrame, state: DataFrame, still: Column, limit: float, tolerance: float) -> DataFrame:
+    """One step for every source; one that is near enough stays where it is."""
+    rated = cells.join(state, "key").withColumn("rate", _rate(limit))
+    words = F.col("n") * F.col("size")
+    slope = F.when((F.col("rate") < limit) & ~F.col("full"), words * F.col("size") / F.col("scale") * F.col("rate")).otherwise(0.0)
+    step = rated.groupBy("key").agg(F.sum(words * F.col("rate")).alias("got"), F.sum(slope).alias("slope"))
+    s = state.join(step, "key").withColumn("gap", F.col("got") - F.col("target"))
+    s = s.withColumns({"off": F.when(still, 0.0).otherwise(F.abs("gap") / F.col("target")), "low": F.when(F.col("gap") < 0, F.col("multiplier")).otherwise(F.col("low")), "high": F.when(F.col("gap") > 0, F.col("multiplier")).otherwise(F.col("high"))})
+    newton = F.col("multiplier") - F.try_divide("gap", "slope")
+    inside = (newton > F.col("low")) & (newton < F.col("high"))
+    s = s.withColumn("multiplier", F.when(F.col("off") <= tolerance, F.col("multiplier")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2))
+    return s.select(*state.columns)
 
 
 def multipliers(cells: DataFrame, goal: DataFrame, limit: float = 3.0, tolerance: float = 1e-7, most: int = 60) -> DataFrame:
     """(key, multiplier, scale, full, source_size, target): the solution of the dual for every source.
 
-    Each step is one aggregation over cells (key, size, n). A Newton step that leaves the bracket of the
-    root is replaced by its middle, so that the search cannot diverge.
+    Each step is one aggregation over cells (key, size, n); STEPS of them are one job. A Newton step that leaves
+    the bracket of the root is replaced by its middle, so that the search cannot diverge.
     """
     mean = cells.where("size > 0").groupBy("key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
     state = goal.join(mean, "key", "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
@@ -68,17 +84,10 @@ def multipliers(cells: DataFrame, goal: DataFrame, limit: float = 3.0, tolerance
         "high": F.when(still | (F.col("target") <= F.col("source_size")), 0.0).otherwise(F.col("scale") * math.log(limit)), "off": F.lit(1.0),
     })
     state = durable(state)
-    for _ in range(most):
-        rated = cells.join(state, "key").withColumn("rate", _rate(limit))
-        words = F.col("n") * F.col("size")
-        slope = F.when((F.col("rate") < limit) & ~F.col("full"), words * F.col("size") / F.col("scale") * F.col("rate")).otherwise(0.0)
-        step = rated.groupBy("key").agg(F.sum(words * F.col("rate")).alias("got"), F.sum(slope).alias("slope"))
-        s = state.join(step, "key").withColumn("gap", F.col("got") - F.col("target"))
-        s = s.withColumns({"off": F.when(still, 0.0).otherwise(F.abs("gap") / F.col("target")), "low": F.when(F.col("gap") < 0, F.col("multiplier")).otherwise(F.col("low")), "high": F.when(F.col("gap") > 0, F.col("multiplier")).otherwise(F.col("high"))})
-        newton = F.col("multiplier") - F.try_divide("gap", "slope")
-        inside = (newton > F.col("low")) & (newton < F.col("high"))
-        s = s.withColumn("multiplier", F.when(F.col("off") <= tolerance, F.col("multiplier")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2))
-        state = durable(s.select(*state.columns))
+    for _ in range(-(-most // STEPS)):
+        for _ in range(STEPS):
+            state = _newton(cells, state, still, limit, tolerance)
+        state = durable(state)
         if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
     # Sums of floating numbers depend on the order of tasks in their last digits; reruns must not.
@@ -124,48 +133,87 @@ def whole_copies(cells: DataFrame, solved: DataFrame, limit: int = 3) -> DataFra
     return c.join(moves, ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("add", F.lit(0))).drop("add", "full")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: int = 3, cycle: tuple = CYCLE) -> DataFrame:
-    """docs with size, source_size, target and copies; every input row stays, copies may be 0.
+def _copies(docs: DataFrame, doc_id: str, text: str, source: str, limit: int, cycle: tuple) -> DataFrame:
+    """One row per distinct (doc_id, text, source): doc_id, key, size, h, n (its rows), source_size, target, base, extra.
 
-    A null source is a source of its own. Null and empty texts have size 0 and get one copy. Ties and
-    repeated rows are ordered by a hash of doc_id; which of several equal rows gets the extra copy does
-    not matter. An empty table gives an empty result. Columns of docs with the added names are replaced.
+    Each of the n rows is taken base times, and `extra` of them once more. Texts are read once and stay where they
+    are. h is a hash of doc_id and text, by which the documents of one source and size are ordered.
     """
-    key, h, bucket, rank, start, n, cell_copies = fresh(docs, "mix_key", "mix_hash", "mix_bucket", "mix_rank", "mix_start", "mix_n", "mix_copies")
-    base = docs.drop("size", "source_size", "target", "copies").withColumns({"size": word_count(F.col(text)), key: _source_key(F.col(source))})
-    counts = durable(base.groupBy(F.col(key).alias("key"), "size", F.xxhash64(doc_id).alias("h")).agg(F.count("*").alias("n")))
+    key, body, origin = named([doc_id, text, source])
+    read = docs.select(key.alias("doc_id"), _source_key(origin).alias("key"), word_count(body).alias("size"), F.xxhash64(key, body).alias("h"))
+    counts = durable(read.groupBy("doc_id", "key", "size", "h").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    # As many buckets as rows per bucket: neither a bucket nor a cell's list of buckets is long, whatever key is hot.
-    buckets = max(1, math.isqrt(total))
-    number = lambda h: F.pmod(h, F.lit(buckets))
-    parts = durable(counts.groupBy("key", "size", number(F.col("h")).alias("bucket")).agg(F.sum("n").alias("n")))
+    # As many buckets as rows per bucket: neither a bucket nor a cell's list of buckets is long, whatever source is hot.
+    bucket = F.pmod("h", F.lit(max(1, math.isqrt(total)))).alias("bucket")
+    parts = durable(counts.groupBy("key", "size", bucket).agg(F.sum("n").alias("n")))
     cells = durable(parts.groupBy("key", "size").agg(F.sum("n").alias("n")))
     sizes = cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = durable(targets(sizes, float(limit), cycle))
     copies = whole_copies(cells, multipliers(cells, goal, float(limit)), limit)
-    earlier = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.withColumn("start", F.sum("n").over(earlier) - F.col("n"))
-    plan = parts.drop("n").join(copies, ["key", "size"])
-    plan = durable(plan.select(F.col("key").alias(key), "size", F.col("bucket").alias(bucket), F.col("start").alias(start), F.col("n").alias(n), F.col("copies").alias(cell_copies), "source_size", "target"))
-    rows = base.withColumn(h, F.xxhash64(doc_id)).withColumn(bucket, number(F.col(h)))
-    within = Window.partitionBy(key, "size", bucket).orderBy(h, doc_id)
-    rows = rows.withColumn(rank, F.row_number().over(within))
-    extra = F.when(F.col(start) + F.col(rank) <= F.pmod(cell_copies, n), 1).otherwise(0)
-    joined = rows.join(plan, [key, "size", bucket]).withColumn("copies", (F.floor(F.col(cell_copies) / F.col(n)) + extra).cast("long"))
-    added = ("size", "source_size", "target", "copies")
-    return joined.select(*named([c for c in docs.columns if c.lower() not in added]), *added)
+    up_to_here = lambda *k: Window.partitionBy("key", "size", *k[:-1]).orderBy(k[-1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = parts.withColumn("start", F.sum("n").over(up_to_here("bucket")) - F.col("n")).drop("n").join(copies.withColumnRenamed("n", "cell_rows"), ["key", "size"])
+    # Rows of one h and doc_id are one row here, so a bucket stays short however often a row is repeated.
+    order = F.struct("h", F.col("doc_id").isNull().alias("none"), "doc_id").alias("order")
+    rows = counts.select("*", bucket, order).withColumn("within", F.sum("n").over(up_to_here("bucket", "order")) - F.col("n")).drop("order")
+    out = rows.join(plan, ["key", "size", "bucket"])
+    first = F.col("start") + F.col("within")
+    extra = F.least(F.greatest(F.pmod("copies", "cell_rows") - first, F.lit(0)), F.col("n"))
+    return out.select("doc_id", "key", "size", "h", "n", "source_size", "target", F.floor(F.col("copies") / F.col("cell_rows")).cast("long").alias("base"), extra.cast("long").alias("extra"))
+
+
+def _each(rows: DataFrame, times: str, number: str, block: int = 10_000) -> DataFrame:
+    """rows as often as the column `times` says, numbered from 1; no array is longer than block or times / block."""
+    (part,) = fresh(rows, "each_part")
+    many = rows.where(F.col(times) > 0).withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / block))))
+    return many.withColumn(number, F.explode(F.sequence(F.col(part) * block + 1, F.least(F.col(times), (F.col(part) + 1) * block)))).drop(part)
+
 
+def _planned(docs: DataFrame, doc_id: str, text: str, source: str, limit: int, cycle: tuple) -> tuple[DataFrame, list[str]]:
+    """docs with (size, source_size, target, copies) under names that docs does not have, and these names.
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with the columns of docs.
+    Texts move once, to meet their number of copies. Rows that repeat doc_id, text and source are told apart by a
+    hash of all columns; only they are numbered, and a row that is repeated very often makes a long sort, not a lost row.
+    """
+    names = fresh(docs, "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_key", "mix_hash", "mix_id", "mix_n", "mix_extra", "mix_number")
+    size, source_size, target, copies, key, h, number, n, extra, place = names
+    plan = durable(_copies(docs, doc_id, text, source, limit, cycle))
+    plan = plan.select(F.col("doc_id").alias(number), F.col("key").alias(key), F.col("h").alias(h), F.col("n").alias(n), F.col("size").alias(size), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("base").alias(copies), F.col("extra").alias(extra))
+    own, body, origin = named([doc_id, text, source])
+    rows = docs.withColumns({key: _source_key(origin), h: F.xxhash64(own, body)})
+    same = [rows[key] == plan[key], rows[h] == plan[h], own.eqNullSafe(plan[number])]
+    keep = [*[rows["`" + c.replace("`", "``") + "`"] for c in docs.columns], plan[key].alias(key), plan[h].alias(h), plan[number].alias(number), *[plan[c].alias(c) for c in (n, size, source_size, target, copies, extra)]]
+    once = rows.join(plan.where(F.col(n) == 1), same).select(*keep).withColumn(copies, F.col(copies) + F.col(extra))
+    shown = [*named(docs.columns), *[F.col(c) for c in names[:4]]]
+    if plan.where(F.col(n) > 1).isEmpty():
+        return once.select(*shown), names[:4]
+    many = rows.join(plan.where(F.col(n) > 1), same).select(*keep)
+    many = many.withColumn(place, F.row_number().over(Window.partitionBy(key, h, number).orderBy(row_hash(docs))))
+    many = many.withColumn(copies, F.col(copies) + F.when(F.col(place) <= F.col(extra), 1).otherwise(0))
+    return once.select(*shown).unionByName(many.select(*shown)), names[:4]
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: int = 3, cycle: tuple = CYCLE) -> DataFrame:
+    """docs with size, source_size, target and copies; every input row stays, copies may be 0.
 
-    docs may not have columns named like those that mix adds.
+    A null source is a source of its own. Null and empty texts have size 0 and get one copy. Ties and
+    repeated rows are ordered by a hash of doc_id and text; which of several equal rows gets the extra copy does
+    not matter. An empty table gives an empty result. Columns of docs with the added names are replaced.
     """
-    taken = mix(docs, **options).where("copies > 0")
-    (name,) = fresh(taken, "copy")
-    return taken.withColumn(name, F.explode(F.expr("sequence(1L, copies)"))).select(*named(docs.columns))
+    out, names = _planned(docs, doc_id, text, source, limit, cycle)
+    added = ("size", "source_size", "target", "copies")
+    return out.select(*named([c for c in docs.columns if c.lower() not in added]), *[F.col(a).alias(b) for a, b in zip(names, added)])
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: int = 3, cycle: tuple = CYCLE) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as it is taken, with the columns of docs unchanged,
+    whatever their names."""
+    out, names = _planned(docs, doc_id, text, source, limit, cycle)
+    (number,) = fresh(out, "mix_each")
+    return _each(out, names[3], number).select(*named(docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    plan = _copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source", 3, CYCLE)
+    rows = _each(plan, "n", "number")
+    copies = F.col("base") + F.when(F.col("number") <= F.col("extra"), 1).otherwise(0)
+    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))

@@ -80,6 +80,30 @@ def test_edges(spark):
     assert all(r["target"] == 0 and r["size"] == 0 for r in empty)
 
 
+def test_empty_texts_are_taken_once_even_in_a_full_source(spark):
+    rows = [(1, None, "z"), (2, "", "z"), (3, "a few words", "z"), *[(i, "w " * 50, "a") for i in range(10, 60)]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    copies = {r["doc_id"]: r["copies"] for r in op.mix(docs).collect()}
+    assert copies[1] == copies[2] == 1 and copies[3] == 3
+    n = {r["doc_id"]: r["count"] for r in op.mixed(docs).groupBy("doc_id").count().collect()}
+    assert n[1] == n[2] == 1 and n[3] == 3
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rows = [(None, "x y z", "a")] * 30 + [(i, "x y z", "a") for i in range(20)] + [(None, "x y z", "b")] * 40 + [(100, "p q", "c")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = op.mix(docs)
+    assert out.count() == len(rows)
+    again = op.mixed(docs)
+    for name in ("a", "b", "c"):
+        mine = out.where(F.col("source") == name).collect()
+        assert sum(r["copies"] for r in mine) == again.where(F.col("source") == name).count()
+        size = 2 if name == "c" else 3
+        assert abs(sum(r["copies"] for r in mine) * size - min(mine[0]["target"], 3 * mine[0]["source_size"])) <= size
+    numbered = op._each(spark.createDataFrame([(1, 7), (2, 0), (3, 25)], "k long, t long"), "t", "no", block=10).collect()
+    assert sorted((r["k"], r["no"]) for r in numbered) == [(1, i) for i in range(1, 8)] + [(3, i) for i in range(1, 26)]
+
+
 def test_reruns_agree_however_rows_are_dealt(spark):
     docs = spark.createDataFrame(corpus(400, ["a", "b", "c"], 9), SCHEMA)
     first, second = ({r["doc_id"]: r["copies"] for r in op.mix(d).collect()} for d in (docs, docs.repartition(7)))
@@ -87,10 +111,10 @@ def test_reruns_agree_however_rows_are_dealt(spark):
 
 
 def test_mixed_repeats_whole_rows(spark):
-    docs = spark.createDataFrame(corpus(200, ["a", "b"], 3), SCHEMA).withColumn("copy", F.lit(5))
+    docs = spark.createDataFrame(corpus(200, ["a", "b"], 3), SCHEMA).withColumns({"copy": F.lit(5), "Copies": F.lit(7), "size": F.lit("MINE"), "a.b": F.lit(1), "mix_n": F.lit(None).cast("int")})
     counts = {r["doc_id"]: r["copies"] for r in op.mix(docs).collect()}
     got = op.mixed(docs)
-    assert got.columns == docs.columns
+    assert got.columns == docs.columns and got.schema == docs.schema and {r["size"] for r in got.collect()} == {"MINE"}
     n = {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert n == {k: v for k, v in counts.items() if v}
 
