@@ -23,10 +23,17 @@ from ridgeline.llm.common import durable, table
 
 @dataclass(frozen=True)
 class Capacity:
+    """What a sequence holds, and the weights of the three residual capacities (as shares) in the choice of one.
+
+    By these weights documents and attention cost decide between sequences that a piece fills almost alike: of two
+    with the same room, the one with more pieces or the higher cost gets it. documents = 2048 and attention = 2048**2
+    follow from 2,048 tokens, so these limits refuse nothing by themselves; lower ones do.
+    """
+
     tokens: int = 2048
     documents: int = 2048
-    attention: float = 2048.0**2
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    attention: int = 2048**2
+    weights: tuple[float, float, float] = (1.0, 0.1, 0.1)
     rule: str = "norm"  # or "dot"
 
 
@@ -41,10 +48,11 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    """Ids of byte_bpe_50k.json. Strings of special tokens in a text are ordinary text.
+    """Ids of byte_bpe_50k.json as its library gives them: the string of a special token becomes that token.
 
     The same vocabulary as ranks gives the same ids several times faster where the two libraries' Unicode
-    tables cannot differ (Latin text and general punctuation); other texts go through the JSON file itself.
+    tables cannot differ (Latin text and general punctuation) and no special token occurs; other texts go through
+    the JSON file itself.
     """
 
     def __init__(self, name: str = "byte_bpe_50k"):
@@ -59,11 +67,11 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._full = Tokenizer.from_file(vocabulary_path(f"{name}.json"))
-        self._full.encode_special_tokens = True
+        self._special = [t.content for t in self._full.get_added_tokens_decoder().values()]
         self._plain = re.compile("[\\x00-ɏ‐-›€]*").fullmatch
 
     def ids(self, text: str) -> list[int]:
-        if self._plain(text):
+        if self._plain(text) and not any(t in text for t in self._special):
             return self._fast.encode_ordinary(text)
         return self._full.encode(text, add_special_tokens=False).ids
 
@@ -107,35 +115,45 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: in
 
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece; lengths in falling order give best-fit decreasing."""
-    most = np.array([capacity.tokens, capacity.documents, capacity.attention], float)
+    """(bin, offset) of each piece; lengths in falling order give best-fit decreasing.
+
+    Among the open sequences with room for the piece under every capacity, the one with the least weighted norm
+    of what remains after it (rule norm), or the largest weighted product of what remains before it with what
+    the piece needs (rule dot), gets it; of equals the oldest. Residuals are whole numbers, so nothing is rounded.
+    """
+    most = np.array([capacity.tokens, capacity.documents, int(capacity.attention)], np.int64)
     weights = np.array(capacity.weights)
     bins = np.zeros(len(lengths), np.int64)
     offsets = np.zeros(len(lengths), np.int64)
-    room = np.empty((len(lengths), 3))  # residual capacities of the open bins, as shares
-    name = np.empty(len(lengths), np.int64)
+    room = np.empty((3, len(lengths) + 1), np.int64)  # residual capacities of the open sequences, oldest first
+    name = np.empty(len(lengths) + 1, np.int64)
     open_, made, least = 0, 0, int(lengths.min()) if len(lengths) else 0
     for i, n in enumerate(lengths.tolist()):
-        need = np.array([n, 1, float(n) * n]) / most
-        if (need > 1 + 1e-12).any():
+        need = np.array([n, 1, n * n], np.int64)
+        if (need > most).any():
             raise ValueError(f"a piece of {n} tokens exceeds a sequence's capacity")
         at = -1
-        if open_:
-            r = room[:open_]
-            fits = np.flatnonzero((r >= need - 1e-12).all(axis=1))
-            if len(fits):
-                score = -(((r[fits] - need) ** 2) @ weights) if capacity.rule == "norm" else r[fits] @ (weights * need)
-                at = int(fits[score.argmax()])
+        r = room[:, :open_]
+        fits = np.flatnonzero((r >= need[:, None]).all(axis=0))
+        if len(fits):
+            if capacity.rule == "norm":
+                part = (r[:, fits] - need[:, None]) / most[:, None]
+                cost = weights[0] * (part[0] * part[0]) + weights[1] * (part[1] * part[1]) + weights[2] * (part[2] * part[2])
+            else:
+                part, share = r[:, fits] / most[:, None], need / most
+                cost = -(weights[0] * (part[0] * share[0]) + weights[1] * (part[1] * share[1]) + weights[2] * (part[2] * share[2]))
+            at = int(fits[cost.argmin()])
         if at < 0:
             at, open_ = open_, open_ + 1
-            room[at], name[at] = 1.0, made
+            room[:, at], name[at] = most, made
             made += 1
         bins[i] = name[at]
-        offsets[i] = round((1 - room[at, 0]) * capacity.tokens)
-        room[at] -= need
-        if room[at, 0] * capacity.tokens < least - 0.5 or room[at, 1] * capacity.documents < 0.5:
+        offsets[i] = most[0] - room[0, at]
+        room[:, at] -= need
+        if room[0, at] < least or room[1, at] < 1 or room[2, at] < least * least:  # nothing fits any more
             open_ -= 1
-            room[at], name[at] = room[open_], name[open_]
+            room[:, at:open_] = room[:, at + 1 : open_ + 1]
+            name[at:open_] = name[at + 1 : open_ + 1]
     return bins, offsets
 
 
