@@ -84,13 +84,22 @@ def test_stage_decisions_agree_with_the_operator(spark, stages):
 
 def test_odd_extra_columns(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40).withColumns({"a.b": F.lit(1), "keep`key": F.lit(None).cast("string"), "Copies": F.lit(7), "h": F.lit(2.5), "norm": F.array(F.lit(1))})
-    docs = docs.withColumnRenamed("Copies", "group")
+    docs = docs.withColumns({"group": F.lit(1), "size": F.lit("mine"), "target": F.lit(None).cast("int"), "score": F.lit(3), "lang_pred": F.lit("x"), "row_identity": F.lit(0)})
     for _, stage in pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns and out.count() > 0
     assert pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 40
 
 
-def test_without_labels_nothing_is_rejected(spark):
-    docs = spark.createDataFrame([(1, "a text", None), (2, None, None)], "doc_id long, text string, lang string")
-    assert pipeline.identify_languages(spark, docs, DATA).count() == 2
+def test_without_labels_only_texts_without_letters_go(spark):
+    docs = spark.createDataFrame([(1, "a text", None), (2, None, None), (3, "12", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in pipeline.identify_languages(spark, docs, DATA).collect()] == [1]
+
+
+def test_repeated_rows_and_ids_leave_one_row(spark):
+    t = "some words that are long enough to be a text of its own"
+    rows = [(1, t, "en", "s", 5)] * 3 + [(1, t.replace(" ", "  "), "en", "s", 6), (None, "another text entirely, by nobody", "en", "s", 1)] + [(None, "another text entirely, by nobody", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in pipeline.STAGES[:3]:
+        docs = stage(spark, docs, DATA)
+    assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "None"]
