@@ -10,10 +10,9 @@ import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ridgeline.llm import chunk_dedup, language_id, mixing, packing, simhash
-from ridgeline.llm.common import named, shared_dir, table
+from ridgeline.llm.common import shared_dir, table
 from ridgeline.runtime import ship
 from ridgeline.sources.files import Folder
 
@@ -31,26 +30,20 @@ def _stage(work):
 
 @_stage
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null or no letters) go; the rest stay as they are.
-
-    Where no row is labelled no language can be told, and none is rejected.
-    """
-    model = language_id.train(docs)
-    if not model.languages:
-        return docs
-    found = language_id.identify(docs, model)
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*named(docs.columns))
+    """Documents that are in none of the labelled languages go: those without letters and those that no language
+    explains. The rest stay as they are."""
+    return language_id.drop_foreign(docs)
 
 
 @_stage
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the longest original stays, then the smallest doc_id."""
+    """Of texts that are equal but for white space, the longest original stays, then the smallest doc_id; one row of each."""
     return chunk_dedup.drop_exact_duplicates(docs)
 
 
 @_stage
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays, as one row."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -62,8 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
-    return packing.packed(docs)
+    """The pieces of all documents and their places in sequences of 2048 tokens and 256 documents at most."""
+    return packing.packed(docs, capacity=packing.Capacity(documents=256))
 
 
 STAGES = [
