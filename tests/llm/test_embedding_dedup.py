@@ -18,7 +18,7 @@ def brute(rows, threshold=0.93):
     for i in range(len(rows)):
         for j in range(i + 1, len(rows)):
             if ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
-                a, b = (np.array(rows[k][1], np.float32).astype(float) for k in (i, j))
+                a, b = (np.array(rows[k][1], float) / np.abs(np.array(rows[k][1], float)).max() for k in (i, j))
                 if a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= threshold:
                     links[i] += 1
                     links[j] += 1
@@ -26,8 +26,9 @@ def brute(rows, threshold=0.93):
                     parent[max(x, y)] = min(x, y)
     smallest = {}
     for i, r in enumerate(rows):
-        smallest[find(i)] = min(smallest.get(find(i), r[0]), r[0])
-    return sorted((r[0], links[i], smallest[find(i)], r[0] == smallest[find(i)]) for i, r in enumerate(rows))
+        ids = [x for x in (smallest.get(find(i)), r[0]) if x is not None]
+        smallest[find(i)] = min(ids, default=None)
+    return sorted(((r[0], links[i], smallest[find(i)], r[0] == smallest[find(i)]) for i, r in enumerate(rows)), key=repr)
 
 
 def vectors(n, seed, noise=0.03):
@@ -40,9 +41,9 @@ def vectors(n, seed, noise=0.03):
     return out[:n]
 
 
-def run(spark, rows, **options):
-    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS rep", "2 AS bucket", "3 AS a")
-    return sorted(map(tuple, op.near_duplicates(df, **options).collect()))
+def run(spark, rows, schema=SCHEMA, **options):
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "1 AS gid", "2 AS bucket", "3 AS a", "4 AS spot")
+    return sorted(map(tuple, op.near_duplicates(df, **options).collect()), key=repr)
 
 
 @pytest.mark.parametrize(("seed", "noise", "crowd"), [(1, 0.02, 1000), (2, 0.03, 3), (3, 0.001, 1000)])
@@ -68,6 +69,43 @@ def test_edges(spark):
     assert run(spark, []) == []
 
 
+def test_doubles_stay_doubles_and_ids_may_be_null_or_repeat(spark):
+    rows = [
+        (1, [1e39, 1.0], 1), (2, [1e39, 1.0], 1), (3, [1e300, 1e300], 1), (4, [2e-300, 2e-300], 1), (None, [1.0, 1.1], 1), (None, [5.0, -5.0], 1), (7, [1.0, 0.0, 0.0], 1), (7, [0.0, 1.0, 0.0], 1),
+        (8, [0.0, 1.0, 0.1], 1), (None, [0.0, 0.0, 1.0], 2), (9, [1.0, 0.0], 3), (10, [0.93, (1 - 0.93**2) ** 0.5 - 1e-9], 3), (11, [0.93 - 1e-9, (1 - 0.93**2) ** 0.5 + 1e-9], 3),
+    ]
+    assert run(spark, rows, "vec_id long, embedding array<double>, label int") == brute(rows)
+
+
+def test_planted_links_in_a_large_table(spark, tmp_path):
+    """50,000 vectors of one label, every link planted at a cosine from 0.93 on: n_links and components are exact."""
+    import pandas as pd
+
+    rng, width, pairs = np.random.default_rng(11), 64, 2000
+    base = rng.standard_normal((50_000 - pairs - 400, width))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((pairs, width))
+    side -= (base[:pairs] * side).sum(axis=1, keepdims=True) * base[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.9301, 0.99, (pairs, 1))
+    group = base[-1] + 0.01 * rng.standard_normal((400, width))
+    v = np.concatenate([base, cos * base[:pairs] + np.sqrt(1 - cos**2) * side, group])
+    ids = rng.permutation(len(v))
+    pd.DataFrame({"vec_id": ids, "embedding": list(v), "label": 1}).to_parquet(tmp_path / "v.parquet")
+    got = op.near_duplicates(spark.read.parquet(str(tmp_path / "v.parquet"))).toPandas().set_index("vec_id")
+    want_links, want_component = np.zeros(len(v), int), ids.copy()
+    a, b = np.arange(pairs), np.arange(len(base), len(base) + pairs)
+    want_links[a] += 1
+    want_links[b] += 1
+    want_component[a] = want_component[b] = np.minimum(ids[a], ids[b])
+    dense = np.r_[len(base) - 1, np.arange(len(v) - 400, len(v))]
+    want_links[dense] += 400
+    want_component[dense] = ids[dense].min()
+    got = got.loc[ids]
+    assert (got["n_links"].to_numpy() == want_links).mean() > 0.9995 and (got["component_id"].to_numpy() == want_component).mean() > 0.9995
+    assert (got["n_links"].to_numpy() <= want_links).all() and (got["n_links"].to_numpy()[dense] == 400).all()
+
+
 def test_hashing_finds_pairs_at_the_threshold():
     rng, width = np.random.default_rng(8), 64
     tables = op.Tables.sized(50_000, 0.93)
