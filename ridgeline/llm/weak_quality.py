@@ -11,23 +11,23 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import durable, table
+from ridgeline.llm.common import attach, durable, identity, named, table
 
 GOOD, BAD, NONE = "+", "-", "0"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """rows: texts in the training sample; words: of one such text, from a place that depends on its id."""
+    """rows: texts in the scorer's training sample, each of them whole. EM sees the votes of all texts."""
 
     rows: int = 3000
-    words: int = 1500
     bits: int = 12
     steps: int = 150
     penalty: float = 0.1
@@ -38,7 +38,7 @@ class Settings:
 
 _symbols = re.compile(r"[^\w\s]")
 _digits = re.compile(r"\d")
-_upper = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
+_upper = re.compile("[" + "".join(chr(c) for c in range(0x110000) if chr(c).isupper()) + "]")
 
 
 def _vote(value: float, good: tuple[float, float], bad: tuple[float, float]) -> str:
@@ -53,7 +53,12 @@ LABELLERS = ("length", "word_length", "symbols", "capitals", "digits", "variety"
 
 
 def votes(text: str | None) -> str:
-    """One character per labeller. A text without words gets no vote but the first."""
+    """One character per labeller, by the same measures at every size.
+
+    A text without words gets no vote but the first. With fewer than 40 words nobody votes on its length, variety or
+    repetitions, nor bad on the length of its words; with fewer than 4 lines nobody votes on repeated lines, and a
+    single line without an end is not bad.
+    """
     text = text or ""
     words = text.split()
     n = len(words)
@@ -63,15 +68,14 @@ def votes(text: str | None) -> str:
     letters = sum(map(len, words))
     counts = Counter(words)
     lines = [x for x in (x.strip() for x in text.split("\n")) if x]
-    capitals = sum(map(str.isupper, filter(str.isalpha, text))) if size < 200 else len(_upper.findall(text))
-    few = n < 40  # shares of so few words say little
+    few = n < 40
     return "".join((
         NONE if few else _vote(n, (80, 1e9), (0, 1e9)),
-        _vote(letters / n, (4.2, 6.2), (3.4, 7.0) if not few else (0, 99)),
+        _vote(letters / n, (4.2, 6.2), (3.4, 7.0) if not few else (0, 1e9)),
         _vote(len(_symbols.findall(text)) / size, (0.005, 0.045), (0.002, 0.075)),
-        _vote(capitals / letters, (0.0, 0.06), (0.0, 0.2)),
+        _vote(len(_upper.findall(text)) / letters, (0.0, 0.06), (0.0, 0.2)),
         _vote(len(_digits.findall(text)) / size, (2.0, 2.0), (0.0, 0.15)),
-        NONE if few else _vote(len(counts) / n, (0.6 if n < 2000 else 0.3, 1.0), (0.35 if n < 2000 else 0.1, 1.0)),
+        NONE if few else _vote(log(len(counts)) / log(n), (0.88, 1.0), (0.75, 1.0)),  # distinct words, as a power of all
         NONE if few else _vote(counts.most_common(1)[0][1] / n, (0.0, 0.1), (0.0, 0.2)),
         NONE if few else _vote(sum(map(str.__eq__, words, words[1:])) / n, (0.0, 0.03), (0.0, 0.08)),
         NONE if len(lines) < 4 else _vote(1 - len(set(lines)) / len(lines), (2.0, 2.0), (0.0, 0.3)),
@@ -152,6 +156,29 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return words, shapes
 
 
+def stretches(text: str, size: int = 1_000_000) -> Iterator[str]:
+    """The text in parts of about a million characters that end between words."""
+    at = 0
+    while at < len(text):
+        to = at + size
+        if to < len(text):
+            gap = text.find(" ", to)
+            to = gap if gap >= 0 else len(text)
+        yield text[at:to]
+        at = to
+
+
+def profile(text: str, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Buckets of a whole text (words, then shapes), their shares of its words, and the number of words."""
+    total, n = np.zeros(2 << bits, np.int64), 0
+    for part in stretches(text):
+        words, shapes = features(part, bits)
+        total += np.bincount(np.r_[words, shapes + (1 << bits)], minlength=2 << bits)
+        n += len(words)
+    index = np.flatnonzero(total)
+    return index, (total[index] / max(n, 1)).astype(np.float32), n
+
+
 @dataclass
 class Scorer:
     weights: np.ndarray  # of words, then of shapes
@@ -160,19 +187,12 @@ class Scorer:
     settings: Settings
 
     def score(self, text: str | None) -> float:
-        """0 to 1; 0 for a text without words. Long texts are hashed in stretches of a million characters."""
-        text, total, n = text or "", 0.0, 0
-        at = 0
-        while at < len(text):
-            to = at + 1_000_000
-            if to < len(text) and (gap := text.find(" ", to)) >= 0:
-                to = gap
-            elif to < len(text):
-                to = len(text)
-            words, shapes = features(text[at:to], self.settings.bits)
+        """0 to 1; 0 for a text without words."""
+        total, n = 0.0, 0
+        for part in stretches(text or ""):
+            words, shapes = features(part, self.settings.bits)
             total += float(self.weights[words].sum() + self.weights[shapes + (1 << self.settings.bits)].sum())
             n += len(words)
-            at = to
         if not n:
             return 0.0
         odds = self.bias + (total / n - self.center) * n / (n + self.settings.doubt)
@@ -214,25 +234,28 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, int, float]], settings:
 
 
 def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, votes) of every row."""
+    """(doc_id, identity, votes) of every row."""
 
     @F.pandas_udf("string")
     def cast(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([votes(t) for t in batch], dtype=object)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), cast(F.col(text).cast("string")).alias("votes"))
+    key, body = named([doc_id, text])
+    return docs.select(key.alias("doc_id"), identity(key, body).alias("identity"), cast(body.cast("string")).alias("votes"))
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """doc_id, votes, posterior, score, kept (score of 0.5 or more) for every row, row for row.
 
     posterior: of being good, from the votes alone. score: of the trained scorer over the whole text, 0 for a
-    null text or one without words. Equal texts get equal answers. An empty table gives an empty result.
+    null text or one without words. Equal texts get equal answers, so repeated rows do and ties do not arise. Other
+    columns of docs are not read, whatever their names. An empty table gives an empty result.
+
+    Votes are taken once and meet the scores by the identity of the row.
     """
-    seen = label(docs, doc_id, text)
-    counted = durable(seen.groupBy("votes").agg(F.count("*").alias("n")))
-    patterns = {r["votes"]: r["n"] for r in counted.toLocalIterator()}  # at most 3 ** len(LABELLERS)
+    seen = durable(label(docs, doc_id, text))
+    patterns = {r["votes"]: r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).toLocalIterator()}  # at most 3 ** len(LABELLERS)
     if not patterns:
         return seen.select("doc_id", "votes", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     prior, table_ = fit_labellers(patterns)
@@ -240,36 +263,37 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settin
     post = dict(zip(keys, posteriors(np.array([["-0+".index(c) for c in k] for k in keys]), prior, table_).tolist()))
     scorer = fit_scorer(_sample(docs, doc_id, text, post, sum(patterns.values()), settings), settings)
 
-    @F.pandas_udf("votes string, posterior double, score double")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            v = [votes(t) for t in batch]
-            yield pd.DataFrame({"votes": v, "posterior": [post.get(x, prior) for x in v], "score": [scorer.score(t) for t in batch]})
+            yield pd.Series([scorer.score(t) for t in batch], dtype="float64")
 
-    out = docs.select(F.col(doc_id).alias("doc_id"), judged(F.col(text).cast("string")).alias("j"))
-    return out.select("doc_id", "j.votes", "j.posterior", "j.score", (F.col("j.score") >= 0.5).alias("kept"))
+    key, body = named([doc_id, text])
+    scores = durable(docs.select(key.alias("doc_id"), identity(key, body).alias("identity"), scored(body.cast("string")).alias("score")))
+    told = durable(seen.groupBy("identity").agg(F.first("votes").alias("votes"), F.count("*").alias("rows")))
+    table_of = docs.sparkSession.createDataFrame(sorted(post.items()), "votes string, posterior double")
+    out = attach(scores, told, "identity", "rows").join(F.broadcast(table_of), "votes")  # one row per pattern
+    return out.select("doc_id", "votes", "posterior", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
 def _sample(docs: DataFrame, doc_id: str, text: str, post: dict[str, float], total: int, settings: Settings) -> list:
-    """(buckets, shares, posterior) of about settings.rows rows, chosen by a hash of doc_id."""
+    """(buckets, shares, words, posterior) of about settings.rows rows, chosen by a hash of doc_id and text."""
     share = min(1.0, settings.rows / total)
-    place = F.pmod(F.xxhash64(F.lit(5), F.col(doc_id)), F.lit(1_000_000))
-    rows = docs.where(place < int(np.ceil(1_000_000 * share))).select(F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(6), F.col(doc_id)).alias("h"))
+    key, body = named([doc_id, text])
+    place = F.pmod(F.xxhash64(F.lit(5), key, body), F.lit(1_000_000_000))
+    rows = docs.where(place < int(np.ceil(1_000_000_000 * share))).select(body.cast("string").alias("text"), F.xxhash64(F.lit(6), key, body).alias("h"))
 
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             out = []
             for t, h in zip(df["text"], df["h"]):
-                words, shapes = features(t or "", settings.bits)
-                if len(words):
-                    at = h % max(1, len(words) - settings.words)
-                    both = np.r_[words[at : at + settings.words], shapes[at : at + settings.words] + (1 << settings.bits)]
-                    index, count = np.unique(both, return_counts=True)
-                    out.append((h, index.astype(np.int32), (count * 2 / len(both)).astype(np.float32), len(both) // 2, votes(t)))
+                index, share, n = profile(t or "", settings.bits)
+                if n:
+                    out.append((h, index.astype(np.int32), share, n, votes(t)))
             yield pd.DataFrame(out, columns=["h", "index", "share", "n", "votes"])
 
     reduced = rows.mapInPandas(reduce, "h long, index array<int>, share array<float>, n int, votes string")
-    got = reduced.orderBy("h").limit(settings.rows).toLocalIterator()
+    got = reduced.orderBy("h", "n", "votes").limit(settings.rows).toLocalIterator()
     return [(np.array(r["index"]), np.array(r["share"], np.float32), r["n"], post.get(r["votes"], 0.5)) for r in got]
 
 

@@ -68,3 +68,94 @@ def test_votes():
     rng = random.Random(1)
     assert op.votes(None) == op.votes("") == "-" + "0" * 9
     assert op.votes(good(rng)).count("-") <= 1 and op.votes("BUY NOW!!! " * 40).count("-") >= 3
+
+
+def test_one_measure_at_every_size():
+    """A text and its repetition get the same vote on capitals, in every script."""
+    at = op.LABELLERS.index("capitals")
+    for t, vote in (
+        ("Сегодня утром мы долго гуляли по тихому берегу реки и разговаривали о книгах и о погоде.\n", "+"),
+        ("Dziś rano długo spacerowaliśmy nad brzegiem cichej rzeki, rozmawiając o książkach, źródłach i żonach.\n", "+"),
+        ("Σήμερα το πρωί περπατήσαμε πολλή ώρα δίπλα στο ποτάμι.\n", "+"), ("今天早上我们在河边散步很久，谈论书籍和天气。\n", "+"), ("СЕГОДНЯ УТРОМ МЫ ДОЛГО ГУЛЯЛИ\n", "-"), ("ŻÓŁĆ ŹRÓDŁO ŚWIT\n", "-"),
+    ):
+        assert {op.votes(t * k)[at] for k in (1, 2, 4, 40)} == {vote}, t
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(30_000)]
+    weights = [1 / (k + 3) for k in range(30_000)]
+    at = op.LABELLERS.index("variety")
+    assert "-" not in {op.votes(" ".join(rng.choices(vocabulary, weights, k=n)))[at] for n in (50, 500, 1999, 2001, 20_000)}
+
+
+def slow_em(rows, rounds):
+    """Dawid and Skene over single texts, in plain loops."""
+    post = []
+    for r in rows:
+        s = sum({"-": -1, "0": 0, "+": 1}[c] for c in r)
+        post.append(min(0.95, max(0.05, 0.5 + 0.45 * (s > 0) * min(1, abs(s) / 2) - 0.45 * (s < 0) * min(1, abs(s) / 2))))
+    for _ in range(rounds):
+        prior = min(0.98, max(0.02, sum(post) / len(post)))
+        share = []
+        for k in range(len(rows[0])):
+            share.append([])
+            for good in (0, 1):
+                n = {c: 1.0 for c in "-0+"}
+                for r, p in zip(rows, post):
+                    n[r[k]] += p if good else 1 - p
+                share[-1].append({c: n[c] / sum(n.values()) for c in n})
+        new = []
+        for r in rows:
+            a, b = prior, 1 - prior
+            for k, c in enumerate(r):
+                a *= share[k][1][c]
+                b *= share[k][0][c]
+            new.append(a / (a + b))
+        moved = max(abs(x - y) for x, y in zip(new, post))
+        if moved < 1e-7:
+            break
+        post = new
+    return prior, new
+
+
+def test_em_against_plain_loops():
+    rng = random.Random(4)
+    rows = ["".join(rng.choices("-0+", [1, 2, 4] if i % 3 else [4, 2, 1], k=6)) for i in range(300)]
+    prior, table = op.fit_labellers(dict(__import__("collections").Counter(rows)), rounds=40)
+    want_prior, want = slow_em(rows, 40)
+    got = op.posteriors(np.array([["-0+".index(c) for c in r] for r in rows]), prior, table)
+    assert abs(prior - want_prior) < 1e-6 and np.abs(got - want).max() < 1e-4
+
+
+def test_scorer_against_plain_gradient_descent():
+    """The same penalised logistic loss, minimised slowly over few features."""
+    rng = np.random.default_rng(5)
+    settings = op.Settings(bits=3, steps=3000, penalty=0.1)
+    rows = []
+    for _ in range(80):
+        share = rng.random(16)
+        rows.append((np.arange(16), (share / share.sum()).astype(np.float32), int(rng.integers(20, 400)), float(share[2] > share[5])))
+    scorer = op.fit_scorer(rows, settings)
+    x = np.stack([r[1] for r in rows]).astype(float)
+    mean, spread = x.mean(axis=0), np.sqrt(x.var(axis=0) + 1e-8)
+    n = np.array([r[2] for r in rows], float)
+    z, y = (x - mean) / spread * (n / (n + settings.doubt))[:, None], np.array([r[3] for r in rows])
+    w, bias = np.zeros(16), 0.0
+    for _ in range(40_000):
+        wrong = 1 / (1 + np.exp(-(z @ w + bias))) - y
+        w -= 0.05 * (z.T @ wrong / len(y) + settings.penalty * w)
+        bias -= 0.05 * wrong.mean()
+    assert np.abs(scorer.weights * spread - w).max() < 0.01 * np.abs(w).max() and abs(scorer.bias - bias) < 0.02
+    assert abs(scorer.center - (w / spread) @ mean) < 0.05 * max(1, abs(scorer.center))
+
+
+def test_whole_texts_are_profiled():
+    text = "alpha beta " * 300_000
+    index, share, n = op.profile(text, 6)
+    assert n == 600_000 and abs(share.sum() - 2) < 1e-3
+    assert [x.tolist() for x in op.profile("alpha beta " * 3, 6)[:1]] == [index.tolist()] and op.profile("", 6)[2] == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    t = "A plain sentence that is long enough. " * 4
+    docs = spark.createDataFrame([(1, t), (1, t), (1, "x"), (None, t), (None, t)], "doc_id long, text string").withColumns({"identity": F.lit(1), "votes": F.lit(2), "rows": F.lit(3), "posterior": F.lit(4)})
+    out = op.classify(docs).collect()
+    assert len(out) == 5 and len({(r["votes"], r["score"]) for r in out}) == 2
