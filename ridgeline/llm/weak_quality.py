@@ -38,7 +38,11 @@ class Settings:
 
 _symbols = re.compile(r"[^\w\s]")
 _digits = re.compile(r"\d")
-_upper = re.compile("[" + "".join(chr(c) for c in range(0x110000) if chr(c).isupper()) + "]")
+_upper = np.fromiter(map(str.isupper, map(chr, range(0x110000))), bool, 0x110000)
+
+
+def _capitals(text: str) -> int:
+    return int(_upper[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].sum())
 
 
 def _vote(value: float, good: tuple[float, float], bad: tuple[float, float]) -> str:
@@ -73,7 +77,7 @@ def votes(text: str | None) -> str:
         NONE if few else _vote(n, (80, 1e9), (0, 1e9)),
         _vote(letters / n, (4.2, 6.2), (3.4, 7.0) if not few else (0, 1e9)),
         _vote(len(_symbols.findall(text)) / size, (0.005, 0.045), (0.002, 0.075)),
-        _vote(len(_upper.findall(text)) / letters, (0.0, 0.06), (0.0, 0.2)),
+        _vote(_capitals(text) / letters, (0.0, 0.06), (0.0, 0.2)),
         _vote(len(_digits.findall(text)) / size, (2.0, 2.0), (0.0, 0.15)),
         NONE if few else _vote(log(len(counts)) / log(n), (0.88, 1.0), (0.75, 1.0)),  # distinct words, as a power of all
         NONE if few else _vote(counts.most_common(1)[0][1] / n, (0.0, 0.1), (0.0, 0.2)),
