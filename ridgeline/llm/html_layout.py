@@ -337,10 +337,14 @@ class _Page:
 
 
 def _render(node: Node, page: _Page, selectors: dict[str, tuple], pre: bool = False, seen: bool = True, depth: int = 0) -> None:
-    number = None
-    if node.tag in ("ol",):
+    number, step = None, 1
+    if node.tag == "ol":
         start = node.attrs.get("start", "")
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+        if "reversed" in node.attrs:
+            step = -1
+            if not re.fullmatch(r"-?\d{1,9}", start):
+                number = sum(isinstance(x, Node) and x.tag == "li" and _displayed(x, selectors) for x in node.children)
     closed = node.tag == "details" and "open" not in node.attrs
     for x in node.children:
         if isinstance(x, str):
@@ -385,7 +389,7 @@ def _render(node: Node, page: _Page, selectors: dict[str, tuple], pre: bool = Fa
                 if re.fullmatch(r"-?\d{1,9}", value):
                     sign = f"{value}. "
                     number = int(value)
-                number += 1
+                number += step
             page.indent, page.marker = indent + " " * len(sign), sign if shows else ""
         elif tag == "blockquote":
             page.indent = indent + "> "
@@ -397,8 +401,24 @@ def _render(node: Node, page: _Page, selectors: dict[str, tuple], pre: bool = Fa
 
 
 def _table(node: Node, page: _Page, selectors: dict[str, tuple], seen: bool, depth: int) -> None:
-    """Rows of cells, columns as wide as their widest line; a cell over several columns takes the first."""
+    """Rows of cells, columns as wide as their widest line; a cell over several columns or rows takes the first."""
     rows: list[list[list[str]]] = []
+    below: dict[int, int] = {}  # rows for which a column is still taken by a cell from above
+
+    def span(x: Node, name: str, most: int) -> int:
+        given = x.attrs.get(name, "")
+        return min(int(given), most) if re.fullmatch(r"\d{1,5}", given) and (name == "rowspan" or given.strip("0")) else 1
+
+    def place(row: list[list[str]], x: Node, lines: list[str]) -> None:
+        while below.get(len(row), 0):
+            row.append([])
+        down = span(x, "rowspan", 65_534) or 65_534  # 0: to the end of the section
+        for k in range(span(x, "colspan", 1000)):
+            if down > 1:
+                started[len(row)] = max(down, below.get(len(row), 0))
+            row.append([] if k else lines)
+
+    started: dict[int, int] = {}
 
     def cell(x: Node) -> list[str]:
         inner = _Page()
@@ -421,16 +441,22 @@ def _table(node: Node, page: _Page, selectors: dict[str, tuple], seen: bool, dep
                 loose = []
             if y.tag in ("tbody", "thead", "tfoot"):
                 if y.children:
+                    below.clear()
                     walk(y)
+                    below.clear()
             elif y.tag == "tr":
                 row: list[list[str]] = []
                 for z in y.children:
                     if isinstance(z, Node) and z.tag in ("td", "th"):
                         if _displayed(z, selectors):
-                            span = z.attrs.get("colspan", "")
-                            row += [cell(z)] + [[]] * (min(int(span), 1000) - 1 if re.fullmatch(r"[1-9]\d{0,3}", span) else 0)
+                            place(row, z, cell(z))
                     elif isinstance(z, Node) or z.strip():
-                        row.append(cell(Node("td", {}, [z])))
+                        place(row, Node("td"), cell(Node("td", {}, [z])))
+                for k in [k for k in below if below[k] > 1]:
+                    started.setdefault(k, below[k])
+                below.clear()
+                below.update({k: n - 1 for k, n in started.items()})
+                started.clear()
                 rows.append(row)
             else:
                 loose.append(y)
@@ -458,7 +484,11 @@ def render(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with visible_text, row for row; a column of that name is replaced. Equal pages give equal texts."""
+    """pages with visible_text, row for row; a column of that name is replaced. Equal pages give equal texts.
+
+    A null or empty page has an empty text, an empty table an empty result. A page of any length is rendered as a
+    whole, in time and memory in proportion to it; other columns, whatever their names, stay as they are.
+    """
 
     @F.pandas_udf("string")
     def rendered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from ridgeline.llm.html_layout import extract, parse, render
 
@@ -7,6 +9,9 @@ CASES = {
     "lists": ("<ul><li>a<li>b<ol start=3><li>c<li value=9>d<li>e</ol><li>f</ul>", "- a\n- b\n  3. c\n  9. d\n  10. e\n- f"),
     "tables align": ("<table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td>x<td>22</table>", "Name       N\nlong name  1\nx          22"),
     "cells with lines and spans": ("<table><tr><td>a<br>b<td>c<tr><td colspan=2>wide one<tr><td>d<td>e</table>", "a         c\nb\nwide one\nd         e"),
+    "cells over rows": ("<table><tr><td rowspan=2>A<td>b1<tr><td>b2<tr><td>c<td>d</table>", "A  b1\n   b2\nc  d"),
+    "a cell over rows ends with its section": ("<table><tbody><tr><td rowspan=0>A<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "A  b\n   c\nd  e"),
+    "reversed lists": ("<ol reversed><li>a<li>b<li hidden>x<li>c</ol><ol reversed start=5><li>d<li value=9>e<li>f</ol>", "3. a\n2. b\n1. c\n\n5. d\n9. e\n8. f"),
     "nested tables": ("<table><tr><td><table><tr><td>1<td>2</table><td>out</table>", "1  2  out"),
     "wide letters": ("<table><tr><td>日本<td>x<tr><td>abc<td>y</table>", "日本  x\nabc   y"),
     "caption": ("<table><caption>C</caption><tr><td>a<td>b</table>", "C\na  b"),
@@ -114,3 +119,76 @@ def test_more_style_sheets():
     assert render(f"<style>{hides}</style><p class=c style=display:block>text") == "text"
     for part in ("@media print{", "a", "a{", "}", "/*", "@x;", "'", "display:none;", ".c{display:none}", "a,", " ", "@media ("):
         render(f"<style>{part * 100_000}</style>text")  # in linear time
+
+
+def slow_table(rows):
+    """A table of (text, colspan, rowspan) on a grid of single squares, each of which knows its cell."""
+    squares, height = {}, len(rows)
+    for y, row in enumerate(rows):
+        x = 0
+        for text, wide, high in row:
+            while (x, y) in squares:
+                x += 1
+            for dx in range(wide):
+                for dy in range(min(high, height - y)):
+                    squares.setdefault((x + dx, y + dy), text if dx == dy == 0 else "")
+            x += wide
+    width = {}
+    own = {y: [x for x, yy in squares if yy == y] for y in range(height)}
+    last = {y: max(own[y], default=-1) for y in range(height)}
+    shown = [y for y in range(height) if any(squares[(x, y)] for x in own[y])]
+    for y in shown:
+        for x in own[y]:
+            width[x] = max(width.get(x, 0), len(squares[(x, y)]))
+    return "\n".join("".join(squares.get((x, y), "").ljust(width.get(x, 0) + 2) for x in range(last[y] + 1)).rstrip() for y in shown)
+
+
+cells = st.tuples(st.text("abcxyz", min_size=1, max_size=5), st.integers(1, 3), st.integers(1, 3))
+
+
+@given(st.lists(st.lists(cells, min_size=2, max_size=4), min_size=1, max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_tables_against_a_grid_of_squares(rows):
+    html = "".join("<tr>" + "".join(f"<td colspan={w} rowspan={h}>{t}" for t, w, h in row) for row in rows)
+    got = render(f"<table>{html}</table>")
+    assert got.split("\n") == slow_table(rows).split("\n")
+
+
+def list_html(x):
+    if isinstance(x, str):
+        return x
+    kind, start, back, inner = x
+    given_ = f" start={start}" + " reversed" * back if kind == "ol" else ""
+    return f"<{kind}{given_}>" + "".join("<li>" + list_html(y) for y in inner) + f"</{kind}>"
+
+
+def list_lines(x):
+    """Lines of a list: every item starts with its marker, what follows is indented as far."""
+    if isinstance(x, str):
+        return [x]
+    kind, start, back, inner = x
+    out = []
+    for k, y in enumerate(inner):
+        sign = "- " if kind == "ul" else f"{start + (-k if back else k)}. "
+        lines = list_lines(y)
+        out.append(sign + lines[0])
+        out += [" " * len(sign) + z for z in lines[1:]]
+    return out
+
+
+@given(st.tuples(st.sampled_from(["ul", "ol"]), st.integers(0, 20), st.booleans(), st.lists(st.one_of(st.text("abc", min_size=1, max_size=4), st.tuples(st.sampled_from(["ul", "ol"]), st.integers(0, 20), st.booleans(), st.lists(st.text("abc", min_size=1, max_size=4), min_size=1, max_size=3)).map(lambda t: ("item", t))), min_size=1, max_size=5)))
+@settings(max_examples=200, deadline=None)
+def test_lists_against_plain_recursion(x):
+    kind, start, back, inner = x
+    html, want = "", []
+    for k, y in enumerate(inner):
+        sign = "- " if kind == "ul" else f"{start + (-k if back else k)}. "
+        if isinstance(y, str):
+            html += f"<li>{y}"
+            want.append(sign + y)
+        else:
+            html += f"<li>head{list_html(y[1])}"
+            want.append(sign + "head")
+            want += [" " * len(sign) + z for z in list_lines(y[1])]
+    given_ = f" start={start}" + " reversed" * back if kind == "ol" else ""
+    assert render(f"<{kind}{given_}>{html}</{kind}>").split("\n") == want
