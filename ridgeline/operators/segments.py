@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.plans.state import numbered
 from ridgeline.schema import DELETE
 
 
@@ -25,11 +26,15 @@ def candidates(stats: DataFrame, key) -> DataFrame:
 def sparse_index(rows: DataFrame, every: int, key: str = "key", seq: str = "seq", shards: list[str] | None = None) -> DataFrame:
     """(block, first_key, last_key, rows) for blocks of `every` rows of the sorted run, per shard.
 
-    Without shards the run is numbered as a whole, which is for runs that one task can sort.
+    Without shards the run is numbered as a whole, range by range.
     """
     shards = shards or []
-    number = F.row_number().over(Window.partitionBy(*shards).orderBy(key, F.col(seq).desc())) - 1
-    return rows.withColumn("block", F.floor(number / every)).groupBy(*shards, "block").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count("*").alias("rows"))
+    if shards:
+        number = F.row_number().over(Window.partitionBy(*shards).orderBy(key, F.col(seq).desc())) - 1
+        placed = rows.withColumn("block", F.floor(number / every))
+    else:
+        placed = numbered(rows, F.col(key), F.col(seq).desc(), name="block").withColumn("block", F.floor(F.col("block") / every))
+    return placed.groupBy(*shards, "block").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count("*").alias("rows"))
 
 
 def block_of(index: DataFrame, key) -> DataFrame:

@@ -47,51 +47,65 @@ def top_k(rows: DataFrame, query: list[float], k: int, metric: str = "cosine", k
     return scored.orderBy(F.col("score") if metric == "l2" else F.col("score").desc(), key).limit(k)
 
 
-def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "key", vec: str = "vec", query_id: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
+def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "key", vec: str = "vec", query_id: str = "query_id", query_vec: str = "query_vec", block: int = BLOCK) -> DataFrame:
     """(query_id, key, score, place): the k nearest rows of every query vector; rules as in top_k.
 
-    Queries are compared with all rows in blocks of at most BLOCK. A task keeps k rows per query and batch; the
-    final ranking sees only those.
+    The rows are read once. Queries are dealt into groups of about `block`, rows into as many shares as there are shuffle
+    partitions; every share meets every group in a cell, and a task holds one group of queries while rows pass by. With
+    one group, rows are not repeated and only the queries are. A task keeps k rows per query and batch; the final ranking sees only those.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    spark = rows.sparkSession
     base = rows.where(F.size(vec) > 0).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("query_vec")).where("size(query_vec) > 0")
+    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("vec")).where("size(vec) > 0")
     kinds = base.schema["key"].dataType.simpleString(), wanted.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kinds[1]}, key {kinds[0]}, score double"
-    empty = rows.sparkSession.createDataFrame([], schema)
-    found = [empty]
-    block: list = []
-    for r in wanted.toLocalIterator():  # the query set is stated by the caller; one block at a time is held
-        block.append((r["query_id"], r["query_vec"]))
-        if len(block) == BLOCK:
-            found.append(base.mapInPandas(_nearest(block, k, metric), schema))
-            block = []
-    if block:
-        found.append(base.mapInPandas(_nearest(block, k, metric), schema))
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
+    groups, shares = max(1, -(-wanted.count() // block)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = wanted.select(every(shares).alias("share"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), "query_id", F.lit(None).cast(kinds[0]).alias("key"), "vec")
+    told = base.select(F.pmod(F.xxhash64("key"), F.lit(shares)).cast("int").alias("share"), every(groups).alias("group"), F.lit(1).alias("kind"), F.lit(None).cast(kinds[1]).alias("query_id"), "key", "vec")
+    dealt = asked.unionByName(told).repartition("share", "group").sortWithinPartitions("share", "group", "kind", "key")
+    found = dealt.mapInPandas(_nearest(k, metric), f"query_id {kinds[1]}, key {kinds[0]}, score double")
     nearest = F.col("score") if metric == "l2" else F.col("score").desc()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(nearest, "key"))
-    return every.withColumn("place", place).where(F.col("place") <= k)
+    return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _nearest(block: list, k: int, metric: str):
+def _nearest(k: int, metric: str):
+    """Over cells of queries (kind 0) and then rows (kind 1), sorted by key."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        widths = {len(v) for _, v in block}
-        sets = {w: ([i for i, v in block if len(v) == w], np.array([v for _, v in block if len(v) == w])) for w in widths}
+        cell, held, sets = None, [], None
         for df in frames:
-            sizes = df["vec"].map(len)
-            for w, (ids, q) in sets.items():
-                part = df[sizes == w].sort_values("key", kind="stable")  # ties go to the smaller key
-                if not len(part) or k <= 0:
+            mark = df["share"].to_numpy().astype(np.int64) * (1 << 32) + df["group"].to_numpy() * 2 + df["kind"].to_numpy()
+            for part in np.split(np.arange(len(df)), np.flatnonzero(np.diff(mark)) + 1):
+                rows = df.iloc[part]
+                own = (rows["share"].iloc[0], rows["group"].iloc[0])
+                if own != cell:
+                    cell, held, sets = own, [], None
+                if rows["kind"].iloc[0] == 0:
+                    held.append(rows[["query_id", "vec"]])
+                    continue
+                if not held or k <= 0:
                     continue
-                s = _scores(_matrix(part["vec"], w), q, metric)
-                cost = np.where(np.isnan(s), np.inf, s if metric == "l2" else -s)
-                best = np.argsort(cost, axis=0, kind="stable")[:k]
-                column = np.broadcast_to(np.arange(len(ids)), best.shape)
-                legal = np.isfinite(cost[best, column])
-                yield pd.DataFrame({"query_id": [ids[c] for c in column[legal]], "key": part["key"].to_numpy()[best[legal]], "score": s[best, column][legal]})
+                if sets is None:
+                    queries = pd.concat(held)
+                    widths = queries["vec"].map(len)
+                    sets = {w: (queries["query_id"][widths == w].to_numpy(), _matrix(queries["vec"][widths == w], w)) for w in set(widths)}
+                yield from _best(rows, sets, k, metric)
 
     return run
+
+
+def _best(rows: pd.DataFrame, sets: dict, k: int, metric: str) -> Iterator[pd.DataFrame]:
+    sizes = rows["vec"].map(len)
+    for w, (ids, q) in sets.items():
+        part = rows[sizes == w]  # sorted by key, so ties go to the smaller one
+        if not len(part):
+            continue
+        s = _scores(_matrix(part["vec"], w), q, metric)
+        cost = np.where(np.isnan(s), np.inf, s if metric == "l2" else -s)
+        best = np.argsort(cost, axis=0, kind="stable")[:k]
+        column = np.broadcast_to(np.arange(len(ids)), best.shape)
+        legal = np.isfinite(cost[best, column])
+        yield pd.DataFrame({"query_id": ids[column[legal]], "key": part["key"].to_numpy()[best[legal]], "score": s[best, column][legal]})

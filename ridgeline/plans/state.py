@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.durable import durable
 from ridgeline.schema import DELETE
 
 
@@ -45,9 +46,14 @@ def shadowed(log: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
     return log.groupBy(key).agg(F.count("*").alias("versions"), (F.count("*") - 1).alias("dead"))
 
 
-def merge_runs(runs: list[DataFrame]) -> DataFrame:
-    """All versions of several runs, by column name; a repeated (key, seq) is one version."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
+def merge_runs(runs: list[DataFrame], key: str = "key", seq: str = "seq") -> DataFrame:
+    """All versions of several runs, by column name; a repeated (key, seq) is one version, that of the first run.
+
+    Ranks are limited before the shuffle, so runs that repeat each other send each version once per task.
+    """
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r.withColumn("__run", F.lit(k)) for k, r in enumerate(runs)])
+    first = Window.partitionBy(key, seq).orderBy("__run")
+    return every.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank", "__run")
 
 
 def first_hit(tiers: list[DataFrame], key: str = "key") -> DataFrame:
@@ -60,9 +66,28 @@ def first_hit(tiers: list[DataFrame], key: str = "key") -> DataFrame:
 
 
 def ordered_run(log: DataFrame, key: str = "key", seq: str = "seq", partitions: int | None = None) -> DataFrame:
-    """All versions, keys ascending, newest first within a key: ranges of keys, each sorted by itself."""
-    dealt = log.repartitionByRange(partitions, key) if partitions else log.repartitionByRange(key)
-    return dealt.sortWithinPartitions(key, F.col(seq).desc())
+    """All versions, keys ascending, newest first within a key: ranges of (key, seq), each sorted by itself, so that
+    the versions of one very frequent key are shared out too."""
+    order = (F.col(key), F.col(seq).desc())
+    dealt = log.repartitionByRange(partitions, *order) if partitions else log.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order)
+
+
+def numbered(rows: DataFrame, *order, name: str = "number") -> DataFrame:
+    """rows with their place in the order, from 0: ranges of it are sorted by themselves and begin where those before
+    them end. No task sees more than its range; the driver gets one count per range. The result is durable."""
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The upper bits of such an identifier are the partition, the lower 33 the place in it.
+    placed = durable(sorted_rows.withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    counts = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    starts, at = [], 0
+    for k in sorted(counts):
+        starts.append((k, at))
+        at += counts[k]
+    start = rows.sparkSession.createDataFrame(starts, "__part long, __start long")
+    out = placed.withColumn("__part", part).join(F.broadcast(start), "__part")
+    return out.withColumn(name, F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__start")
 
 
 def compacted(log: DataFrame, drop_tombstones: bool, low_water: int | None = None, key: str = "key", seq: str = "seq", op: str = "op") -> DataFrame:

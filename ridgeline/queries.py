@@ -5,18 +5,22 @@ The change log is derived from ``events``: key user:<user_id>, seq event_id, a t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.functions.frames import frame_bytes
+from ridgeline.durable import durable, shared_dir
+from ridgeline.functions.frames import decode, frame, frame_bytes
 from ridgeline.operators import lookup
 from ridgeline.operators.segments import block_of, candidates, sparse_index, statistics
 from ridgeline.operators.vector import batch_top_k, top_k
 from ridgeline.plans import state
 from ridgeline.schema import CHANGELOG, PUT_VECTOR
+from ridgeline.sources import logs
+from ridgeline.sources.files import Folder
 from ridgeline.sources.store import Store
 from ridgeline.streaming.ingest import ingest
 
@@ -52,13 +56,13 @@ def _vectors(spark, sf_dir) -> DataFrame:
 
 
 def _workspace(spark: SparkSession) -> str:
-    """A new folder for a query's own store: under spark.checkpoint.dir, or a temporary one in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="ridgeline-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder for a query's own files, in the session's shared folder."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def _money(column: str):
+    """A double as text that every engine writes alike."""
+    return F.col(column).cast("decimal(18,2)").cast("string")
 
 
 # Queries
@@ -183,10 +187,18 @@ def shadowed_versions(spark, d):
 
 
 def dead_vector_bytes(spark, d):
-    """Bytes of vectors that a plain overwrite of every third key leaves behind."""
-    v = _vectors(spark, d).withColumn("bytes", (F.size("vec") * 4).cast("long"))
-    dead = F.when(F.col("key") % 3 == 0, F.col("bytes")).otherwise(0)
-    return v.groupBy("label").agg(F.sum("bytes").alias("all_bytes"), F.sum(dead).alias("dead_bytes"))
+    """Bytes in exported vector files that a plain overwrite of every third key leaves behind: vectors that the live
+    rows of the log no longer point to."""
+    path = _workspace(spark)
+    v = _vectors(spark, d)
+    key = F.concat(F.col("label").cast("string"), F.lit(":"), F.col("key").cast("string")).cast("binary").alias("key")
+    first = v.select(F.col("key").alias("seq"), F.lit(PUT_VECTOR).cast("byte").alias("op"), key, F.lit(b"v").alias("value"), "vec")
+    again = v.where("key % 3 = 0").select((F.col("key") + 1_000_000_000).alias("seq"), F.lit(0).cast("byte").alias("op"), key, F.lit(b"").alias("value"), F.lit(None).cast("array<float>").alias("vec"))
+    logs.write_log(first.unionByName(again), path)
+    records = logs.read_log(spark, path)
+    size = F.when(F.octet_length("pointer") == 20, F.conv(F.hex(F.substring("pointer", 17, 4)), 16, 10).cast("long") * 4).otherwise(0)
+    by_label = lambda rows, name: rows.groupBy(F.substring_index(F.col("key").cast("string"), ":", 1).cast("int").alias("label")).agg(F.sum(size).alias(name))
+    return by_label(records, "all_bytes").join(by_label(state.live(records), "live_bytes"), "label").select("label", "all_bytes", (F.col("all_bytes") - F.col("live_bytes")).alias("dead_bytes"))
 
 
 def vector_lookup(spark, d):
@@ -198,20 +210,124 @@ def vector_lookup(spark, d):
 
 
 def wal_frame_bytes(spark, d):
-    log = _binary(changes(spark, d).withColumn("value", F.lit("value")))
-    return log.select("seq", frame_bytes(F.col("key"), F.col("value"), F.lit(False)).cast("long").alias("bytes"))
+    """Length of each encoded frame, every fifth with a vector's pointer, next to the size that is foretold."""
+    log = changes(spark, d).select("seq", "op", F.col("key").cast("binary").alias("key"), _money("value").cast("binary").alias("value"), (F.col("seq") % 5 == 0).alias("vector"))
+    pointer = F.when(F.col("vector"), F.unhex(F.lpad(F.hex("seq"), 40, "0")))
+    return log.select("seq", F.octet_length(frame(F.col("op"), F.col("key"), F.col("value"), pointer)).cast("long").alias("bytes"), frame_bytes(F.col("key"), F.col("value"), F.col("vector")).cast("long").alias("foretold"))
 
 
 def torn_tail_prefix(spark, d):
-    """Replay stops for good at the first bad frame, here seq 7777 or, on small tables, 777."""
-    log = changes(spark, d)
-    bad = log.where("seq IN (777, 7777)").agg(F.max("seq").alias("bad"))
-    return log.join(F.broadcast(bad), F.col("seq") < F.col("bad")).select("seq", "op")
+    """Logs of 1,000 records each, in which every frame whose seq ends in 777 has a damaged byte: replay of a log
+    stops at its first bad frame for good."""
+    log = changes(spark, d).select("seq", frame(F.col("op"), F.col("key"), _money("value")).alias("frame"), F.floor(F.col("seq") / 1000).alias("log"))
+    files = log.groupBy("log").agg(F.sort_array(F.collect_list(F.struct("seq", "frame"))).alias("frames"))
+
+    def replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for log_, frames in zip(df["log"], df["frames"]):
+                whole = [bytes(f["frame"]) for f in frames]
+                bad = [f[:-1] + bytes([f[-1] ^ 1]) if r["seq"] % 1000 == 777 else f for r, f in zip(frames, whole)]
+                found = [(log_, int(frames[k]["seq"]), op, key.decode(), value.decode()) for k, (_, op, key, value, _) in enumerate(decode(b"".join(bad)))]
+                yield pd.DataFrame(found, columns=["log", "seq", "op", "key", "value"])
+
+    return files.mapInPandas(replayed, "log long, seq long, op byte, key string, value string")
+
+
+def torn_log_repaired(spark, d):
+    """A log with a torn tail, to which more is appended after its repair: all records of both are replayed."""
+    path = _workspace(spark)
+    log = changes(spark, d).select("seq", "op", F.col("key").cast("binary").alias("key"), _money("value").cast("binary").alias("value"))
+    logs.write_log(log.where("seq < 300"), path)
+    logs.write_log(log.where("seq >= 300 AND seq < 500"), f"{path}/more")
+    folder, more = Folder(spark, path), Folder(spark, f"{path}/more")
+    last = [n for n in folder.names() if n.endswith(".log")][-1]
+    folder.write(last, folder.read(last) + bytes(range(1, 13)))
+    logs.repair_log(spark, path)
+    folder.write(last, folder.read(last) + b"".join(more.read(n) for n in more.names() if n.endswith(".log")))
+    back = logs.read_log(spark, path)
+    return back.groupBy(F.col("key").cast("string").alias("key")).agg(F.count("*").alias("versions"), F.sum(F.col("value").cast("string").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+def log_round_trip(spark, d):
+    """put_many without an order, deletions and vectors, exported as log and vector files and read again: the live rows."""
+    path = _workspace(spark)
+    store = Store.open(spark, f"{path}/store")
+    o = _orders(spark, d).select(F.concat(F.lit("o"), F.col("seq").cast("string")).cast("binary").alias("key"), _money("value").cast("binary").alias("value"), F.when(F.col("seq") % 3 == 0, F.array(F.col("run").cast("float"), F.lit(0.5).cast("float"))).alias("vec"), "op")
+    store.put_many(o.drop("op"))
+    store.delete_many(o.where("op = 2"))
+    logs.write_log(store.changelog(), f"{path}/export")
+    back = state.live(logs.changes_of(logs.read_log(spark, f"{path}/export"), spark, f"{path}/export"))
+    return back.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), F.coalesce(F.size("vec"), F.lit(0)).alias("dim"), F.get("vec", F.lit(0)).cast("double").alias("first"))
+
+
+def table_round_trip(spark, d):
+    """Newest versions written as sorted table files, tombstones and vectors too, and read again: the live rows."""
+    path = _workspace(spark)
+    o = _orders(spark, d).select("seq", F.when(F.col("op") == 0, F.when(F.col("seq") % 3 == 0, 1).otherwise(0)).otherwise(F.col("op")).cast("byte").alias("op"), F.col("key").cast("binary").alias("key"), _money("value").cast("binary").alias("value"), F.when((F.col("op") == 0) & (F.col("seq") % 3 == 0), F.array(F.col("run").cast("float"))).alias("vec"))
+    logs.write_tables(state.latest(o), path)
+    back = state.live(logs.changes_of(logs.read_tables(spark, path), spark, path))
+    return back.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), F.col("vec").isNotNull().alias("has_vector"))
+
+
+def table_point_get(spark, d):
+    """Three keys asked of sorted table files by bounds, filter, index and one block: one that is there, a tombstone, and none."""
+    path = _workspace(spark)
+    log = changes(spark, d).select("seq", "op", F.col("key").cast("binary").alias("key"), _money("value").cast("binary").alias("value"))
+    end = spark.createDataFrame([(1 << 50, 2, bytearray(b"user:9"), bytearray(b""))], log.schema)
+    logs.write_tables(state.latest(log.unionByName(end)), path)
+    asked = [logs.find_in_tables(spark, path, k).select(F.lit(k).alias("key"), F.col("value").cast("string").alias("value")) for k in ("user:7", "user:9", "user:none")]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
 
 
 def group_commit_batches(spark, d):
-    batch = F.floor(F.col("event_id") / 1000)
-    return _table(spark, d, "events").groupBy(batch.alias("batch")).agg(F.count("*").alias("requests"), F.min("event_id").alias("first_seq"), F.max("event_id").alias("last_seq"))
+    """events streamed into a store in commits of at most 1,000 requests: what each commit holds."""
+    path = _workspace(spark)
+    _binary(changes(spark, d)).repartitionByRange(4, "seq").write.parquet(f"{path}/incoming")
+    store = Store.open(spark, f"{path}/store")
+    stream = spark.readStream.schema(CHANGELOG).parquet(f"{path}/incoming")
+    ingest(stream, store, "events", f"{path}/offsets", most=1000).awaitTermination()
+    rows = [(s.rows, s.min_seq, s.max_seq) for s in store.refresh().manifest.segments]
+    return spark.createDataFrame(rows, "requests long, first_seq long, last_seq long")
+
+
+def service_verbs(spark, d):
+    """put, put_vector, delete, get and query of single keys, over a store with a bulk load."""
+    store = Store.open(spark, f"{_workspace(spark)}/store")
+    store.append(_binary(changes(spark, d)))
+    store.put("user:1", "put")
+    store.put_vector("user:2", "with", [1.0, 2.5])
+    store.put("user:2", "without")
+    store.put_vector("user:3", "vector", [0.5])
+    store.put("user:4", "")
+    store.delete("user:5")
+    keys = [f"user:{k}" for k in (1, 2, 3, 4, 5)] + ["none"]
+    out = []
+    for k in keys:
+        value, found = store.get(k), store.query(k)
+        out.append((k, None if value is None else value.decode(), None if found is None else len(found[1] or [])))
+    return spark.createDataFrame(out, "key string, value string, dim int")
+
+
+def bulk_verbs(spark, d):
+    """put_many with an order, delete_many, and what is left alive."""
+    store = Store.open(spark, f"{_workspace(spark)}/store")
+    log = _binary(changes(spark, d))
+    store.put_many(log.select("key", "value", "seq"), order="seq")
+    store.delete_many(log.where("op = 2").select("key"))
+    store.put_many(log.where("seq % 97 = 0").select("key", F.lit("again").cast("binary").alias("value"), "seq"), order="seq")
+    return store.live().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def compaction_trigger(spark, d):
+    """Appends until the store says that a compaction is due: level-0 segments, rows and tombstones after each."""
+    store = Store.open(spark, f"{_workspace(spark)}/store")
+    log, out = _binary(changes(spark, d)), []
+    for k in range(5):
+        store.append(log.where(F.col("seq") % 5 == k))
+        due = store.compact_if_needed()
+        s = store.statistics()
+        out.append((k, due, s["segments"], s["rows"], s["tombstones"]))
+    return spark.createDataFrame(out, "append int, compacted boolean, segments int, rows long, tombstones long")
 
 
 def _topk(metric):
@@ -234,9 +350,9 @@ def as_of_snapshot(spark, d):
 
 
 def crc32_frames(spark, d):
-    """Checksum of every key and value as text: unsigned."""
-    log = changes(spark, d)
-    return log.select("seq", F.crc32(F.concat_ws("=", "key", F.col("op").cast("string")).cast("binary")).alias("crc"))
+    """The checksum in the header of every record's frame, with key, value and op: unsigned."""
+    whole = changes(spark, d).select("seq", frame(F.col("op"), F.col("key"), _money("value")).alias("frame"))
+    return whole.select("seq", F.conv(F.hex(F.substring("frame", 1, 4)), 16, 10).cast("long").alias("crc"))
 
 
 def stream_ingest_live(spark, d):
@@ -275,7 +391,7 @@ QUERIES = [
     empty_value_vs_tombstone, vector_overwritten_by_plain_put, tier_precedence, ordered_run, segment_min_max, prune_candidates, sparse_index_blocks,
     sparse_index_lookup, merge_runs, compact_full, compact_partial_keeps_tombstones, compact_low_water, shadowed_versions, dead_vector_bytes, vector_lookup,
     wal_frame_bytes, torn_tail_prefix, group_commit_batches, batch_vector_topk, as_of_snapshot, crc32_frames, stream_ingest_live, store_compacted_live,
-    bloom_no_false_negative,
+    bloom_no_false_negative, torn_log_repaired, log_round_trip, table_round_trip, table_point_get, service_verbs, bulk_verbs, compaction_trigger,
 ]
 
 
@@ -294,6 +410,13 @@ _LIVE = f"{_NEW} SELECT key, seq, value FROM n WHERE op = 0"
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
 
 
+#: Checksums over the bytes of each frame's payload: the table by eight steps per entry, then one step per byte.
+_CRC = f"""{_LOG}, t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, i)) AS step),
+p AS (SELECT seq, list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT) AS k, list_transform(string_split(value::DECIMAL(18,2)::VARCHAR, ''), lambda x: ord(x)::BIGINT) AS v, op FROM c),
+b AS (SELECT seq, list_concat([op::BIGINT, 0, 0, 0, len(k), 0, 0, 0, len(v), 0, 0, 0, 0], list_concat(k, v)) AS bytes FROM p)
+SELECT seq, xor(list_reduce(bytes, lambda x, y: xor(x // 256, step[xor(x % 256, y) + 1]), 4294967295::BIGINT), 4294967295) AS crc FROM b, t"""
+
+
 def _topk_sql(function: str, direction: str) -> str:
     return f"SELECT vec_id AS key, round({function}(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY {function}(embedding::DOUBLE[], {_Q}::DOUBLE[]) {direction}, vec_id LIMIT 10"
 
@@ -324,9 +447,17 @@ def oracle_sql():
         "shadowed_versions": f"{_LOG} SELECT key, count(*) AS versions, count(*) - 1 AS dead FROM c GROUP BY key",
         "dead_vector_bytes": "SELECT label, sum(len(embedding) * 4)::BIGINT AS all_bytes, sum(CASE WHEN vec_id % 3 = 0 THEN len(embedding) * 4 ELSE 0 END)::BIGINT AS dead_bytes FROM embeddings GROUP BY label",
         "vector_lookup": "SELECT vec_id AS key, label, vec_id % 7 = 0 AS dangling, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE len(embedding)::INTEGER END AS dim FROM embeddings",
-        "wal_frame_bytes": f"{_LOG} SELECT seq, (21 + octet_length(encode(key)) + 5)::BIGINT AS bytes FROM c",
-        "torn_tail_prefix": f"{_LOG} SELECT seq, op::TINYINT AS op FROM c WHERE seq < (SELECT max(seq) FROM c WHERE seq IN (777, 7777))",
-        "group_commit_batches": "SELECT event_id // 1000 AS batch, count(*) AS requests, min(event_id) AS first_seq, max(event_id) AS last_seq FROM events GROUP BY 1",
+        "wal_frame_bytes": f"{_LOG} SELECT seq, (21 + octet_length(encode(key)) + length(value::DECIMAL(18,2)::VARCHAR) + CASE WHEN seq % 5 = 0 THEN 20 ELSE 0 END)::BIGINT AS bytes, bytes AS foretold FROM c",
+        "torn_tail_prefix": f"{_LOG} SELECT seq // 1000 AS log, seq, op::TINYINT AS op, key, value::DECIMAL(18,2)::VARCHAR AS value FROM c WHERE seq % 1000 < 777",
+        "torn_log_repaired": f"{_LOG} SELECT key, count(*) AS versions, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM c WHERE seq < 500 GROUP BY key",
+        "log_round_trip": "SELECT 'o' || o_orderkey AS key, o_totalprice::DECIMAL(18,2)::VARCHAR AS value, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END::INTEGER AS dim, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 END::DOUBLE AS first FROM orders WHERE o_orderkey % 10 <> 0",
+        "table_round_trip": f"{_ORDERS}, n AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT key, value::DECIMAL(18,2)::VARCHAR AS value, seq % 3 = 0 AS has_vector FROM n WHERE op = 0",
+        "table_point_get": f"{_NEW} SELECT key, value::DECIMAL(18,2)::VARCHAR AS value FROM n WHERE op = 0 AND key = 'user:7'",
+        "group_commit_batches": "WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events) SELECT count(*) AS requests, min(event_id) AS first_seq, max(event_id) AS last_seq FROM n GROUP BY r // 1000",
+        "service_verbs": "SELECT * FROM (VALUES ('user:1', 'put', 0), ('user:2', 'without', 0), ('user:3', 'vector', 1), ('user:4', '', 0), ('user:5', NULL, NULL), ('none', NULL, NULL)) AS t(key, value, dim)",
+        "bulk_verbs": f"{_NEW}, dead AS (SELECT DISTINCT key FROM c WHERE op = 2), again AS (SELECT DISTINCT key FROM c WHERE seq % 97 = 0) SELECT key, CASE WHEN key IN (SELECT key FROM again) THEN 'again' ELSE value::VARCHAR END AS value FROM n WHERE key IN (SELECT key FROM again) OR key NOT IN (SELECT key FROM dead)",
+        "compaction_trigger": f"{_LOG}, a AS (SELECT i::INTEGER AS append, i = 3 AS compacted, CASE WHEN i < 3 THEN i + 1 ELSE i - 2 END::INTEGER AS segments FROM range(5) AS r(i)), w AS (SELECT *, seq % 5 AS part FROM c), z AS (SELECT * FROM w WHERE part < 4 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT append, compacted, segments, CASE WHEN append < 3 THEN (SELECT count(*) FROM w WHERE part <= append) ELSE (SELECT count(*) FROM z WHERE op = 0) + CASE WHEN append = 4 THEN (SELECT count(*) FROM w WHERE part = 4) ELSE 0 END END AS rows, CASE WHEN append < 3 THEN (SELECT count(*) FROM w WHERE part <= append AND op = 2) WHEN append = 3 THEN 0 ELSE (SELECT count(*) FROM w WHERE part = 4 AND op = 2) END AS tombstones FROM a",
+        "crc32_frames": _CRC,
         "vector_topk_cosine": _topk_sql("list_cosine_similarity", "DESC"),
         "vector_topk_l2": _topk_sql("list_distance", "ASC"),
         "vector_topk_dot": _topk_sql("list_inner_product", "DESC"),

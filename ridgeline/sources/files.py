@@ -20,6 +20,13 @@ class Folder:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path))
 
+    def full(self, name: str) -> str:
+        """The whole path with its file system."""
+        return self.fs.makeQualified(self._at(name)).toString()
+
+    def make(self) -> None:
+        self.fs.mkdirs(self.path)
+
     def read(self, name: str) -> bytes:
         stream = self.fs.open(self._at(name))
         try:
@@ -35,14 +42,27 @@ class Folder:
         finally:
             stream.close()
 
+    def _rename(self, old: str, new: str, replace: bool) -> None:
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        kind = self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        options = self.jvm.java.lang.reflect.Array.newInstance(kind, int(replace))
+        if replace:
+            self.jvm.java.lang.reflect.Array.set(options, 0, next(x for x in kind.getEnumConstants() if x.name() == "OVERWRITE"))
+        context.rename(self.fs.makeQualified(self._at(old)), self.fs.makeQualified(self._at(new)), options)
+
+    def replace(self, temporary: str, name: str) -> None:
+        """Renames over name, at once where the file system's rename is atomic. A local checksum of the old file goes."""
+        checksum = self._at(f".{name}.crc")
+        if self.fs.exists(checksum):
+            self.fs.delete(checksum, False)
+        self._rename(temporary, name, True)
+
     def publish(self, temporary: str, name: str) -> bool:
         """Renames without replacing; False if name exists. Atomic where the file system's rename is."""
         if self.fs.exists(self._at(name)):
             return False
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
-        none = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
         try:
-            context.rename(self.fs.makeQualified(self._at(temporary)), self.fs.makeQualified(self._at(name)), none)
+            self._rename(temporary, name, False)
         except Exception:
             if self.fs.exists(self._at(name)):
                 return False

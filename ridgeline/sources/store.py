@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ridgeline.operators import lookup
 from ridgeline.operators.segments import statistics
 from ridgeline.operators.vector import batch_top_k, top_k
-from ridgeline.plans.state import as_of, compacted, live, ordered_run
+from ridgeline.plans.state import as_of, compacted, live, numbered, ordered_run
 from ridgeline.schema import CHANGELOG, COLUMNS, DELETE, deletes, key_bytes, puts
 from ridgeline.sources.files import Folder
 
@@ -162,6 +162,22 @@ class Store:
         self._publish(self._changed(segments=segments, sources=sources, next_batch=top))
         return segment is not None
 
+    def append_bounded(self, changes: DataFrame, most: int, source: str, batch_id: int) -> int:
+        """Publishes change-log rows in order of (seq, key) as commits of at most `most` rows; the number of commits.
+
+        A batch that was cut short by a failure goes on behind its last published commit when it is replayed: a
+        commit's number is the batch and its place in it.
+        """
+        placed = numbered(changes.select(*COLUMNS), "seq", "key", "op", name="__number")
+        commits = -(-placed.count() // most)
+        if commits >= 1 << 20:
+            raise ValueError("a batch has at most 2**20 commits")
+        done = 0
+        for k in range(commits):
+            part = placed.where((F.col("__number") >= k * most) & (F.col("__number") < (k + 1) * most))
+            done += self.append(part, source=source, batch_id=(batch_id << 20) + k)
+        return done
+
     def put_many(self, rows: DataFrame, order: str | None = None, **commit) -> bool:
         """Puts of (key, value[, vec]). Keys must be unique, or `order` tells which of equal keys is newest."""
         return self.append(puts(self._sequenced(rows, self.manifest.next_batch, order)), **commit)
@@ -235,9 +251,18 @@ class Store:
     # Maintenance
 
     def _replace(self, old: list[Segment], rows: DataFrame, level: int) -> None:
+        """Puts one segment in the place of others. Writers may append meanwhile: as long as the old segments are
+        still listed, the newest manifest takes the change."""
         new = self._write(ordered_run(rows), level)
         gone = {s.id for s in old}
-        self._publish(self._changed(segments=[*[s for s in self.manifest.segments if s.id not in gone], *([new] if new else [])]))
+        while True:
+            try:
+                return self._publish(self._changed(segments=[*[s for s in self.manifest.segments if s.id not in gone], *([new] if new else [])]))
+            except Conflict:
+                if not gone <= {s.id for s in self.refresh().manifest.segments}:
+                    if new:
+                        self._segments.remove(new.id)
+                    raise
 
     def flush(self) -> bool:
         """Level-0 batches become one sorted segment with all versions; False if there are none."""

@@ -45,3 +45,18 @@ def test_nothing_outside_imports_the_optional_part():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any("llm" in n.split(".") or n == "corpus_pipeline" for n in names), path
+
+
+def test_a_missing_library_leaves_the_engine(tmp_path):
+    """Whatever the optional part needs and does not find, the engine's queries stay."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(contract.__file__).parent)
+    for missing in ("xxhash", "ridgeline.llm", "corpus_pipeline"):
+        code = f"import sys; sys.path.insert(0, {root!r}); sys.modules[{missing!r}] = None; import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); print('OP' if 'op1_entropy_mix' in q else 'NONE', sum(not n.startswith('op') and n != 'pipeline' for n in q))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=100)
+        from ridgeline import queries as core
+
+        assert out.stdout.split()[-1] == str(len(core.queries())), out.stderr[-2000:]

@@ -197,3 +197,64 @@ def test_many_writes_of_one_key(spark, store):
     hot = spark.range(5000).select(F.lit(b"hot").alias("key"), F.col("id").cast("string").cast("binary").alias("value"), "id")
     store.put_many(hot, order="id")
     assert store.get("hot") == b"4999"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_hold_no_single_partition(spark, tmp_path):
+    from ridgeline.operators.segments import sparse_index
+    from ridgeline.operators.vector import batch_top_k
+    from ridgeline.plans.state import ordered_run
+
+    spark.range(1000).selectExpr("concat('k', id % 10) AS key", "id AS seq", "array(cast(id AS float), cast(1 AS float)) AS vec").write.parquet(str(tmp_path / "t"))
+    log = spark.read.parquet(str(tmp_path / "t"))
+    assert "SinglePartition" not in plan(sparse_index(log, 64))
+    assert "rangepartitioning(key" in plan(ordered_run(log)) and "seq" in plan(ordered_run(log)).split("rangepartitioning(")[1].split(")")[0]
+    queries = log.where("seq % 3 = 0").selectExpr("seq AS query_id", "vec AS query_vec")
+    for block in (1024, 16):
+        found = batch_top_k(log.selectExpr("seq AS key", "vec"), queries, 2, "l2", block=block)
+        assert plan(found).count("FileScan parquet") == 2, "one for the rows, one for the queries"
+        got = {(r["query_id"], r["place"]): r["key"] for r in found.collect()}
+        assert len(got) == 2 * 334 and all(got[q, 1] == q for q in range(0, 1000, 3)) and all(got[q, 2] == (q - 1 if q else 1) for q in range(0, 1000, 3))
+
+
+def test_numbers_over_ranges(spark):
+    from ridgeline.plans.state import numbered
+
+    rows = spark.range(5000).selectExpr("id % 3 AS hot", "id").repartition(7)
+    got = numbered(rows, F.col("hot"), F.col("id").desc()).collect()
+    want = sorted(((r["hot"], r["id"]) for r in got), key=lambda x: (x[0], -x[1]))
+    assert [(r["hot"], r["id"]) for r in sorted(got, key=lambda r: r["number"])] == want and sorted(r["number"] for r in got) == list(range(5000))
+    assert numbered(rows.limit(0), "id").count() == 0
+
+
+def test_versions_of_one_key_are_shared_out(spark):
+    from ridgeline.plans.state import merge_runs, ordered_run
+
+    hot = spark.range(20_000).selectExpr("'hot' AS key", "id AS seq")
+    sizes = [r["n"] for r in ordered_run(hot, partitions=4).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 10_000
+    run = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "key string, seq long, value string")
+    again = spark.createDataFrame([("a", 2, "z"), ("b", 1, "w")], "key string, seq long, value string")
+    assert sorted(map(tuple, merge_runs([run, again]).collect())) == [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "w")]
+
+
+def test_a_flush_beside_a_writer(spark, store):
+    """A flush that is overtaken by appends keeps them; one whose segments are gone gives up."""
+    store.put("a", "1")
+    other = Store.open(spark, store.path)
+    store.put("b", "2")
+    assert other.flush() and {bytes(k) for k in everything(store.refresh())} == {b"a", b"b"}
+    late = Store.open(spark, store.path)
+    store.compact()
+    with pytest.raises(Conflict):
+        late.flush()
+    assert len(everything(store.refresh())) == 2
+
+
+def test_commits_of_a_bounded_size(spark, store):
+    batch = rows(spark, [(f"k{i}", str(i)) for i in range(25)]).selectExpr("n AS seq", "cast(0 AS byte) AS op", "key", "value", "cast(null AS array<float>) AS vec")
+    assert store.append_bounded(batch, 10, "s", 0) == 3 and [s.rows for s in store.manifest.segments] == [10, 10, 5]
+    assert store.append_bounded(batch, 10, "s", 0) == 0 and store.append_bounded(batch, 10, "s", 1) == 3

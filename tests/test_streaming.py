@@ -1,6 +1,6 @@
 from ridgeline.schema import CHANGELOG
 from ridgeline.sources.store import Store
-from ridgeline.streaming.ingest import ingest, live_view
+from ridgeline.streaming.ingest import Maintenance, ingest, live_view
 
 
 def batch(spark, first, n):
@@ -26,3 +26,17 @@ def test_live_view(spark, tmp_path):
     q.awaitTermination()
     got = {bytes(r["key"]).decode(): int(bytes(r["value"])) for r in spark.table("newest").collect()}
     assert got == {"k0": 5, "k1": 6, "k3": 8, "k4": 9}
+
+
+def test_maintenance_beside_the_stream(spark, tmp_path):
+    incoming, store = str(tmp_path / "in"), Store.open(spark, str(tmp_path / "store"))
+    for k in range(6):
+        batch(spark, 100 * k, 10).coalesce(1).write.mode("append").parquet(incoming)
+    beside = Maintenance(store, compact=True)
+    stream = spark.readStream.schema(CHANGELOG).option("maxFilesPerTrigger", 1).parquet(incoming)
+    ingest(stream, store, "s", str(tmp_path / "offsets"), flush_every=1, most=4, maintenance=beside).awaitTermination()
+    beside.wait()
+    store.refresh()
+    assert any(s.level for s in store.manifest.segments)
+    got = {bytes(r["key"]).decode(): int(bytes(r["value"])) for r in store.live().collect()}
+    assert got == {"k0": 505, "k1": 506, "k3": 508, "k4": 509}
