@@ -1,41 +1,17 @@
-"""What several operators share: durable intermediate tables, connected components, salting."""
+"""What several operators share: identities of rows, answers for hot keys, connected components."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridgeline.durable import durable, shared_dir
+
 #: White space of every word definition here: the ASCII characters 9 to 13 and 32.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for durable intermediates, from the session's spark.checkpoint.dir.
-
-    Only a local session without the setting gets a temporary folder: on a cluster executors
-    would not see each other's files there.
-    """
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="ridgeline-")
-    context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["attach", "connected_components", "durable", "fresh", "identity", "keep_rows", "named", "row_hash", "shared_dir", "table", "word_count"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
