@@ -78,7 +78,9 @@ def forms(docs: DataFrame, text: str, form: str, whole: str, lines: str) -> Data
 
     out = docs.withColumn(low, F.regexp_replace(F.lower(F.coalesce(named([text])[0].cast("string"), F.lit(""))), r"\r\n?", "\n"))
     tokens = F.split(F.replace(F.regexp_replace(low, r"[^\p{L}\p{N}\n]+", " "), F.lit("\n"), F.lit(" \n ")), " ")
-    respelled = F.array_join(F.transform(F.filter(tokens, lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(spelled, w), w)), " ")
+    # A hash set says which words are respelled; only these are looked for in the map, one entry after the other.
+    respell = lambda w: F.when(w.isin(list(WORDS)), F.try_element_at(spelled, w)).otherwise(w)
+    respelled = F.array_join(F.transform(F.filter(tokens, lambda w: w != ""), respell), " ")
     out = out.withColumns({clean: F.transform(F.split(respelled, "\n", -1), lambda x: F.trim(x)), raw: F.split(low, "\n", -1)})
     body = F.transform(clean, lambda x, k: F.when(F.get(F.col(raw), k).rlike(f"^{NOTICE}$"), "").otherwise(x))
     return out.withColumn(low, body).select(*named(docs.columns), joined(F.col(low)).alias(form), joined(F.col(clean)).alias(whole), F.transform(low, phrased).alias(lines))
