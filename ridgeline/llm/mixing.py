@@ -9,6 +9,7 @@ the histogram of (source, size); rates are then rounded to whole copies.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -168,36 +169,70 @@ def _each(rows: DataFrame, times: str, number: str, block: int = 10_000) -> Data
     return many.withColumn(number, F.explode(F.sequence(F.col(part) * block + 1, F.least(F.col(times), (F.col(part) + 1) * block)))).drop(part)
 
 
+def _chosen(partial: DataFrame, columns: list[str], identity_: list[str], n: str, extra: str, copies: str) -> DataFrame:
+    """partial with copies settled, where `extra` of the n rows of an identity (key, hash, id) are taken once more.
+
+    Equal rows are folded per task and dealt by all their columns. An identity's different rows are ordered by a
+    hash of them; places come from one count per bucket and ranks within buckets, so no task meets a whole identity.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in partial.schema}
+    loose = [c for c in columns if any(x in kinds[c] for x in ("map<", "variant"))]  # no keys of a group, but for their JSON
+    m, json_, bucket, part, start, within, here, number = fresh(partial, "chosen_m", "chosen_json", "chosen_bucket", "chosen_part", "chosen_start", "chosen_within", "chosen_here", "chosen_number")
+    firm = [c for c in partial.columns if c not in loose]
+    as_json = [F.to_json(c, {"ignoreNullFields": "false"}).alias(f"{json_}{k}") for k, c in enumerate(named(loose))]
+    folded = partial.groupBy(*named(firm), *as_json).agg(F.count("*").alias(m), *[F.first(c).alias(name) for c, name in zip(named(loose), loose)])
+    folded = folded.select(*named(partial.columns), m)
+    buckets = max(1, math.isqrt(partial.agg(F.max(n)).first()[0] or 0))
+    folded = durable(folded.withColumn(part, row_hash(folded.select(*named(columns)))).withColumn(bucket, F.pmod(part, F.lit(buckets))))
+    up_to_here = lambda keys, last: Window.partitionBy(*keys).orderBy(last).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = folded.groupBy(*identity_, bucket).agg(F.sum(m).alias(start))
+    sums = sums.withColumn(start, F.sum(start).over(up_to_here(identity_, bucket)) - F.col(start)).select(*[F.col(c).alias(f"{start}{c}") for c in (*identity_, bucket)], start)
+    placed = folded.withColumn(within, F.sum(m).over(up_to_here([*identity_, bucket], part)) - F.col(m))
+    placed = placed.join(sums, [F.col(c).eqNullSafe(F.col(f"{start}{c}")) for c in (*identity_, bucket)])
+    placed = placed.withColumn(here, F.least(F.greatest(F.col(extra) - F.col(start) - F.col(within), F.lit(0)), F.col(m)))
+    return _each(placed, m, number).withColumn(copies, F.col(copies) + F.when(F.col(number) <= F.col(here), 1).otherwise(0)).select(*named(partial.columns))
+
+
 def _planned(docs: DataFrame, doc_id: str, text: str, source: str, limit: int, cycle: tuple) -> tuple[DataFrame, list[str]]:
     """docs with (size, source_size, target, copies) under names that docs does not have, and these names.
 
-    Texts move once, to meet their number of copies. Rows that repeat doc_id, text and source are told apart by a
-    hash of all columns; only they are numbered, and a row that is repeated very often makes a long sort, not a lost row.
+    Texts move once, to meet their number of copies. Rows that repeat doc_id, text and source share theirs; only
+    where some of them get one more than others are they told apart. An identity of over a 2,000th part of all
+    rows would meet its answer in one task: there are fewer than 2,000 such, so their answers are broadcast.
     """
-    names = fresh(docs, "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_key", "mix_hash", "mix_id", "mix_n", "mix_extra", "mix_number")
-    size, source_size, target, copies, key, h, number, n, extra, place = names
+    names = fresh(docs, "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_key", "mix_hash", "mix_id", "mix_n", "mix_extra", "mix_own_key", "mix_own_hash")
+    size, source_size, target, copies, key, h, number, n, extra, own_key, own_h = names
     plan = durable(_copies(docs, doc_id, text, source, limit, cycle))
     plan = plan.select(F.col("doc_id").alias(number), F.col("key").alias(key), F.col("h").alias(h), F.col("n").alias(n), F.col("size").alias(size), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("base").alias(copies), F.col("extra").alias(extra))
     own, body, origin = named([doc_id, text, source])
-    rows = docs.withColumns({key: _source_key(origin), h: F.xxhash64(own, body)})
-    same = [rows[key] == plan[key], rows[h] == plan[h], own.eqNullSafe(plan[number])]
-    keep = [*[rows["`" + c.replace("`", "``") + "`"] for c in docs.columns], plan[key].alias(key), plan[h].alias(h), plan[number].alias(number), *[plan[c].alias(c) for c in (n, size, source_size, target, copies, extra)]]
-    once = rows.join(plan.where(F.col(n) == 1), same).select(*keep).withColumn(copies, F.col(copies) + F.col(extra))
+    rows = docs.withColumns({own_key: _source_key(origin), own_h: F.xxhash64(own, body)})
+    same = [F.col(own_key) == F.col(key), F.col(own_h) == F.col(h), own.eqNullSafe(F.col(number))]
+    keep = [*named(docs.columns), *[F.col(c) for c in names[:9]]]
     shown = [*named(docs.columns), *[F.col(c) for c in names[:4]]]
-    if plan.where(F.col(n) > 1).isEmpty():
-        return once.select(*shown), names[:4]
-    many = rows.join(plan.where(F.col(n) > 1), same).select(*keep)
-    many = many.withColumn(place, F.row_number().over(Window.partitionBy(key, h, number).orderBy(row_hash(docs))))
-    many = many.withColumn(copies, F.col(copies) + F.when(F.col(place) <= F.col(extra), 1).otherwise(0))
-    return once.select(*shown).unionByName(many.select(*shown)), names[:4]
+    total, most = plan.agg(F.sum(n), F.max(n)).first()
+    once = lambda rest: rest.join(plan.where(F.col(n) == 1), same).select(*keep).withColumn(copies, F.col(copies) + F.col(extra)).select(*shown)
+    if (most or 0) <= 1:
+        return once(rows), names[:4]
+    crowd = max(1000, total // 2000)
+    rest, many = rows, []
+    if most > crowd:
+        hot = F.broadcast(plan.where(F.col(n) > crowd))
+        rest, many = rows.join(hot, same, "left_anti"), [rows.join(hot, same).select(*keep)]
+    many = functools.reduce(DataFrame.unionAll, [*many, rest.join(plan.where((F.col(n) > 1) & (F.col(n) <= crowd)), same).select(*keep)])
+    some = (F.col(extra) > 0) & (F.col(extra) < F.col(n))
+    alike = many.where(~some).withColumn(copies, F.col(copies) + (F.col(extra) > 0).cast("long"))
+    out = once(rest).unionAll(alike.select(*shown))
+    if not plan.where(some).isEmpty():
+        out = out.unionAll(_chosen(many.where(some), docs.columns, [key, h, number], n, extra, copies).select(*shown))
+    return out, names[:4]
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit: int = 3, cycle: tuple = CYCLE) -> DataFrame:
     """docs with size, source_size, target and copies; every input row stays, copies may be 0.
 
     A null source is a source of its own. Null and empty texts have size 0 and get one copy. Ties and
-    repeated rows are ordered by a hash of doc_id and text; which of several equal rows gets the extra copy does
-    not matter. An empty table gives an empty result. Columns of docs with the added names are replaced.
+    repeated rows are ordered by a hash of doc_id and text; rows with one doc_id, text and source share their copies
+    by a hash of all columns, equal ones in any order. An empty table gives an empty result. Columns of docs with the added names are replaced.
     """
     out, names = _planned(docs, doc_id, text, source, limit, cycle)
     added = ("size", "source_size", "target", "copies")

@@ -104,6 +104,27 @@ def test_repeated_rows_share_their_copies(spark):
     assert sorted((r["k"], r["no"]) for r in numbered) == [(1, i) for i in range(1, 8)] + [(3, i) for i in range(1, 26)]
 
 
+def test_an_identity_that_many_rows_share(spark):
+    from collections import Counter
+
+    # All rows of "a" have one size, so most identities get the extra copy whole and one gets it in part.
+    odd = [(1, "x y", "a", i % 7, {"k": i % 3}) for i in range(1500)] + [(1, "x y", "a", None, None)] * 1500 + [(None, "x y", "a", 1, {"k": 1})] * 1200
+    rows = odd + [(i, "x y", "a", 1, {}) for i in range(10, 40)] + [(i, "w " * (i % 9), "b", 1, {"k": None}) for i in range(100, 900)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", mix_n int, chosen_m map<string,int>")
+    show = lambda df: Counter((r["doc_id"], r["text"], r["source"], r["mix_n"], str(r["chosen_m"]), *((r["copies"],) if "copies" in r else ())) for r in df.collect())
+    out = op.mix(docs)
+    assert show(out.drop("copies", "size")) == show(docs)
+    assert show(out) == show(op.mix(docs.repartition(5)))
+    mine = out.where("source = 'a'").collect()
+    copies = {r["copies"] for r in mine}
+    assert len(copies) == 2 and max(copies) - min(copies) == 1
+    assert abs(sum(r["copies"] for r in mine) * 2 - min(mine[0]["target"], 3 * mine[0]["source_size"])) <= 2
+    # At most one identity is divided, and it is one of the crowds here.
+    divided = [k for k in {r["doc_id"] for r in mine} if len({r["copies"] for r in mine if r["doc_id"] == k}) > 1]
+    assert len(divided) == 1 and divided[0] in (1, None)
+    assert op.mixed(docs).count() == sum(r["copies"] for r in out.collect())
+
+
 def test_reruns_agree_however_rows_are_dealt(spark):
     docs = spark.createDataFrame(corpus(400, ["a", "b", "c"], 9), SCHEMA)
     first, second = ({r["doc_id"]: r["copies"] for r in op.mix(d).collect()} for d in (docs, docs.repartition(7)))
