@@ -169,8 +169,8 @@ def _each(rows: DataFrame, times: str, number: str, block: int = 10_000) -> Data
     return many.withColumn(number, F.explode(F.sequence(F.col(part) * block + 1, F.least(F.col(times), (F.col(part) + 1) * block)))).drop(part)
 
 
-def _chosen(partial: DataFrame, columns: list[str], identity_: list[str], n: str, extra: str, copies: str) -> DataFrame:
-    """partial with copies settled, where `extra` of the n rows of an identity (key, hash, id) are taken once more.
+def _chosen(partial: DataFrame, columns: list[str], identity_: list[str], most: int, extra: str, copies: str) -> DataFrame:
+    """partial with copies settled, where `extra` of an identity's rows (key, hash, id; at most `most`) are taken once more.
 
     Equal rows are folded per task and dealt by all their columns. An identity's different rows are ordered by a
     hash of them; places come from one count per bucket and ranks within buckets, so no task meets a whole identity.
@@ -182,8 +182,7 @@ def _chosen(partial: DataFrame, columns: list[str], identity_: list[str], n: str
     as_json = [F.to_json(c, {"ignoreNullFields": "false"}).alias(f"{json_}{k}") for k, c in enumerate(named(loose))]
     folded = partial.groupBy(*named(firm), *as_json).agg(F.count("*").alias(m), *[F.first(c).alias(name) for c, name in zip(named(loose), loose)])
     folded = folded.select(*named(partial.columns), m)
-    buckets = max(1, math.isqrt(partial.agg(F.max(n)).first()[0] or 0))
-    folded = durable(folded.withColumn(part, row_hash(folded.select(*named(columns)))).withColumn(bucket, F.pmod(part, F.lit(buckets))))
+    folded = durable(folded.withColumn(part, row_hash(folded.select(*named(columns)))).withColumn(bucket, F.pmod(part, F.lit(max(1, math.isqrt(most))))))
     up_to_here = lambda keys, last: Window.partitionBy(*keys).orderBy(last).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = folded.groupBy(*identity_, bucket).agg(F.sum(m).alias(start))
     sums = sums.withColumn(start, F.sum(start).over(up_to_here(identity_, bucket)) - F.col(start)).select(*[F.col(c).alias(f"{start}{c}") for c in (*identity_, bucket)], start)
@@ -223,7 +222,7 @@ def _planned(docs: DataFrame, doc_id: str, text: str, source: str, limit: int, c
     alike = many.where(~some).withColumn(copies, F.col(copies) + (F.col(extra) > 0).cast("long"))
     out = once(rest).unionAll(alike.select(*shown))
     if not plan.where(some).isEmpty():
-        out = out.unionAll(_chosen(many.where(some), docs.columns, [key, h, number], n, extra, copies).select(*shown))
+        out = out.unionAll(_chosen(many.where(some), docs.columns, [key, h, number], most, extra, copies).select(*shown))
     return out, names[:4]
 
 
