@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from functools import cached_property
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -69,6 +74,42 @@ class Folder:
             raise
         return True
 
+    @cached_property
+    def _local(self) -> Path | None:
+        """The folder, if it is on this machine."""
+        whole = self.fs.makeQualified(self.path).toUri()
+        return Path(whole.getPath()) if whole.getScheme() == "file" else None
+
+    def _link(self, name: str, data: bytes) -> bool | None:
+        """add() for a local folder by a hard link, which is atomic and never replaces; None where there are no links."""
+        temporary = self._local / f"_{uuid.uuid4().hex}.tmp"
+        try:
+            self._local.mkdir(parents=True, exist_ok=True)
+            with temporary.open("xb") as f:
+                f.write(data)
+                f.flush()
+                os.fsync(f.fileno())
+            os.link(temporary, self._local / name)
+            return True
+        except FileExistsError:
+            return False
+        except OSError:
+            return None
+        finally:
+            temporary.unlink(missing_ok=True)
+
+    def add(self, name: str, data: bytes) -> bool:
+        """A new file that is seen whole or not at all; False if name exists. Hadoop's local file system starts several
+        processes for one rename, so local folders do without it."""
+        added = self._link(name, data) if self._local else None
+        if added is None:
+            temporary = f"_{uuid.uuid4().hex}.tmp"
+            self.write(temporary, data)
+            added = self.publish(temporary, name)
+            if not added:
+                self.remove(temporary)
+        return added
+
     def remove(self, name: str = "") -> None:
         self.fs.delete(self._at(name), True)
 

@@ -25,6 +25,10 @@ from ridgeline.sources.files import Folder
 COMPACT_FROM = 4
 #: Rows per batch number in a sequence number: seq = batch << ORDINAL_BITS | ordinal.
 ORDINAL_BITS = 32
+#: Bits of a bounded commit's place in its batch: source number = batch << COMMIT_BITS | place.
+COMMIT_BITS = 20
+#: Segments from which a manifest may name an older one for those that both have, rather than list them again.
+SHARE_FROM = 64
 
 
 class Conflict(RuntimeError):
@@ -50,12 +54,26 @@ class Manifest:
     low_water: int = -1
     segments: list[Segment] = field(default_factory=list)
     sources: dict[str, int] = field(default_factory=dict)
+    #: The version whose `shared` segments come first and are not listed again; 0 if all are listed.
+    base: int = 0
+    shared: int = 0
 
     @staticmethod
     def parse(data: bytes) -> Manifest:
         d = json.loads(data)
         return Manifest(**{**d, "segments": [Segment(**s) for s in d["segments"]]})
 
+    def dump(self) -> bytes:
+        return json.dumps({**vars(self), "segments": [vars(s) for s in self.segments[self.shared :]]}).encode()
+
+    def share(self, old: Manifest) -> None:
+        """Takes over what old lists or shares if only segments were added to it. What is listed stays below the
+        square root of all, so that both the listed segments and the whole manifests are few over many commits."""
+        base, shared = (old.base, old.shared) if old.base else (old.version, len(old.segments))
+        added = len(self.segments) - shared
+        if shared >= SHARE_FROM and 0 <= added and added**2 <= len(self.segments) and self.segments[:shared] == old.segments[:shared]:
+            self.base, self.shared = base, shared
+
 
 class Store:
     """put, get, delete, put_vector and search_vector for single keys; put_many, delete_many, multi_get, live and
@@ -89,14 +107,17 @@ class Store:
 
     def _newest(self) -> Manifest:
         versions = [n for n in self._manifests.names() if n.endswith(".json")]
-        return Manifest.parse(self._manifests.read(versions[-1])) if versions else Manifest()
+        if not versions:
+            return Manifest()
+        newest = Manifest.parse(self._manifests.read(versions[-1]))
+        if newest.base:
+            newest.segments = Manifest.parse(self._manifests.read(f"{newest.base:020d}.json")).segments[: newest.shared] + newest.segments
+        return newest
 
     def _publish(self, new: Manifest) -> None:
         new.version = self.manifest.version + 1
-        temporary = f"_{uuid.uuid4().hex}.tmp"
-        self._manifests.write(temporary, json.dumps(asdict(new)).encode())
-        if not self._manifests.publish(temporary, f"{new.version:020d}.json"):
-            self._manifests.remove(temporary)
+        new.share(self.manifest)
+        if not self._manifests.add(f"{new.version:020d}.json", new.dump()):
             raise Conflict(f"version {new.version} exists; refresh() and retry")
         self.manifest = new
 
@@ -118,6 +139,17 @@ class Store:
         if not s["rows"]:
             self._segments.remove(name)
             return None
+        return self._segment(name, level, s)
+
+    def _write_each(self, rows: DataFrame, by: str) -> dict[int, Segment]:
+        """A segment of level 0 for each value of `by`, all written by one job and measured by another. rows must
+        be durable: they are read once for either."""
+        name = uuid.uuid4().hex
+        rows.select(*COLUMNS, by).write.partitionBy(by).parquet(f"{self.path}/segments/{name}")
+        return {s[by]: self._segment(f"{name}/{by}={s[by]}", 0, s) for s in statistics(rows, [by]).collect()}
+
+    @staticmethod
+    def _segment(name: str, level: int, s) -> Segment:
         return Segment(name, level, s["rows"], s["tombstones"], bytes(s["min_key"]).hex(), bytes(s["max_key"]).hex(), s["min_seq"], s["max_seq"])
 
     def _read(self, segments: list[Segment]) -> DataFrame:
@@ -156,27 +188,46 @@ class Store:
         if verify and segment and not self._read([segment]).groupBy("key", "seq").count().where("count > 1").isEmpty():
             self._segments.remove(segment.id)
             raise ValueError("a key has two versions with one seq; give an order")
+        self._publish(self._with(segment, source, batch_id))
+        return segment is not None
+
+    def _with(self, segment: Segment | None, source: str | None, batch_id: int | None) -> Manifest:
+        """The manifest with one more segment of level 0, if any, and the source's newest number."""
         sources = {**self.manifest.sources, **({source: batch_id} if source is not None else {})}
         segments = [*self.manifest.segments, *([segment] if segment else [])]
         top = max(self.manifest.next_batch, (segment.max_seq >> ORDINAL_BITS) + 1 if segment else 0)
-        self._publish(self._changed(segments=segments, sources=sources, next_batch=top))
-        return segment is not None
+        return self._changed(segments=segments, sources=sources, next_batch=top)
 
     def append_bounded(self, changes: DataFrame, most: int, source: str, batch_id: int) -> int:
         """Publishes change-log rows in order of (seq, key) as commits of at most `most` rows; the number of commits.
 
+        The segments of all commits are written together, so the rows are read a fixed number of times however many
+        commits they make. Then each is published by a manifest of its own, in order. Flushes, compactions and
+        writers of other sources may publish in between; a second writer of this source gets Conflict.
+
         A batch that was cut short by a failure goes on behind its last published commit when it is replayed: a
         commit's number is the batch and its place in it.
         """
         placed = numbered(changes.select(*COLUMNS), "seq", "key", "op", name="__number")
         commits = -(-placed.count() // most)
-        if commits >= 1 << 20:
-            raise ValueError("a batch has at most 2**20 commits")
-        done = 0
-        for k in range(commits):
-            part = placed.where((F.col("__number") >= k * most) & (F.col("__number") < (k + 1) * most))
-            done += self.append(part, source=source, batch_id=(batch_id << 20) + k)
-        return done
+        if commits >= 1 << COMMIT_BITS:
+            raise ValueError(f"a batch has at most 2**{COMMIT_BITS} commits")
+        start = batch_id << COMMIT_BITS
+        at = self.manifest.sources.get(source, -1)
+        done = max(at + 1 - start, 0)
+        if done >= commits:
+            return 0
+        segments = self._write_each(placed.where(F.col("__number") >= done * most).withColumn("commit", F.expr(f"__number div {most}")), "commit")
+        for k in range(done, commits):
+            while True:
+                try:
+                    self._publish(self._with(segments[k], source, start + k))
+                    break
+                except Conflict:
+                    if self.refresh().manifest.sources.get(source, -1) != at:
+                        raise
+            at = start + k
+        return commits - done
 
     def put_many(self, rows: DataFrame, order: str | None = None, **commit) -> bool:
         """Puts of (key, value[, vec]). Keys must be unique, or `order` tells which of equal keys is newest."""
@@ -291,11 +342,13 @@ class Store:
         """Deletes segments that the newest manifest does not list, and older manifests, past an age that
         running readers and writers need."""
         keep = {s.id for s in self.manifest.segments}
-        gone = [n for n in self._segments.names() if n not in keep and self._segments.age_seconds(n) >= older_than_seconds]
+        together = {n.split("/")[0] for n in keep if "/" in n}
+        found = [n for name in self._segments.names() for n in ([f"{name}/{k}" for k in Folder(self.spark, f"{self.path}/segments/{name}").names() if "=" in k] if name in together else [name])]
+        gone = [n for n in found if n not in keep and self._segments.age_seconds(n) >= older_than_seconds]
         for n in gone:
             self._segments.remove(n)
         for n in self._manifests.names():
-            if n != f"{self.manifest.version:020d}.json" and self._manifests.age_seconds(n) >= older_than_seconds:
+            if n not in {f"{v:020d}.json" for v in (self.manifest.version, self.manifest.base)} and self._manifests.age_seconds(n) >= older_than_seconds:
                 self._manifests.remove(n)
         return gone
 

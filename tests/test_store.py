@@ -1,11 +1,14 @@
 """The store against a plain dictionary, and one test per rule of the contract."""
 
+import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.operators import lookup
+from ridgeline.sources.files import Folder
 from ridgeline.sources.store import Conflict, Store
 
 
@@ -258,3 +261,83 @@ def test_commits_of_a_bounded_size(spark, store):
     batch = rows(spark, [(f"k{i}", str(i)) for i in range(25)]).selectExpr("n AS seq", "cast(0 AS byte) AS op", "key", "value", "cast(null AS array<float>) AS vec")
     assert store.append_bounded(batch, 10, "s", 0) == 3 and [s.rows for s in store.manifest.segments] == [10, 10, 5]
     assert store.append_bounded(batch, 10, "s", 0) == 0 and store.append_bounded(batch, 10, "s", 1) == 3
+
+
+def numbers(spark, n):
+    return spark.range(n).selectExpr("id AS seq", "cast(0 AS byte) AS op", "cast(concat('k', id) AS binary) AS key", "cast(cast(id AS string) AS binary) AS value", "cast(null AS array<float>) AS vec")
+
+
+def test_many_bounded_commits_need_no_more_jobs(spark, tmp_path):
+    def jobs(commits):
+        spark.sparkContext.setJobGroup(f"commits-{commits}", "")
+        store = Store.open(spark, str(tmp_path / str(commits)))
+        assert store.append_bounded(numbers(spark, 240), 240 // commits, "s", 0) == commits
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"commits-{commits}"))
+
+    assert jobs(48) <= jobs(6) + 2
+
+
+def test_every_bounded_commit_is_a_version_of_its_own(spark, store):
+    store.append_bounded(numbers(spark, 300), 1, "s", 0)
+    files = [n for n in store._manifests.names() if n.endswith(".json")]
+    assert len(files) == 300 and [s.min_seq for s in store.manifest.segments] == list(range(300))
+    listed = [len(json.loads(store._manifests.read(n))["segments"]) for n in files]
+    assert sum(listed) < 300 * 301 / 2 / 3, "most versions list only what they add to an older one"
+    assert Store.open(spark, store.path).manifest == store.manifest and store.manifest.base > 0
+    assert store.vacuum(older_than_seconds=0) == [] and Store.open(spark, store.path).manifest == store.manifest
+    assert len(everything(store)) == 300 and store.get("k7") is not None and set(store.live().columns) == {"seq", "op", "key", "value", "vec"}
+    assert store.flush() and Store.open(spark, store.path).manifest == store.manifest
+    assert len(store.vacuum(older_than_seconds=0)) == 1 and len(everything(Store.open(spark, store.path))) == 300
+
+
+def test_bounded_commits_go_on_where_they_were_cut_off(spark, store, monkeypatch):
+    publish, calls = Store._publish, []
+
+    def failing(self, new):
+        calls.append(new)
+        if len(calls) == 3:
+            raise OSError("no space")
+        publish(self, new)
+
+    monkeypatch.setattr(Store, "_publish", failing)
+    with pytest.raises(OSError, match="no space"):
+        store.append_bounded(numbers(spark, 25), 5, "s", 0)
+    assert [s.rows for s in Store.open(spark, store.path).manifest.segments] == [5, 5]
+    assert store.refresh().append_bounded(numbers(spark, 25), 5, "s", 0) == 3 and [s.min_seq for s in store.manifest.segments] == [0, 5, 10, 15, 20]
+    gone = store.vacuum(older_than_seconds=0)
+    assert len(gone) == 3 and len(everything(store)) == 25, "what the first attempt wrote and never published"
+
+
+def test_others_publish_between_bounded_commits(spark, store, monkeypatch):
+    publish, calls = Store._publish, []
+
+    def beside(self, new):
+        calls.append(new)
+        if len(calls) == 3:
+            monkeypatch.setattr(Store, "_publish", publish)
+            assert Store.open(spark, store.path).flush()
+        publish(self, new)
+
+    monkeypatch.setattr(Store, "_publish", beside)
+    assert store.append_bounded(numbers(spark, 25), 5, "s", 0) == 5
+    assert [(s.level, s.rows) for s in store.manifest.segments] == [(1, 10), (0, 5), (0, 5), (0, 5)] and len(everything(store)) == 25
+
+    def twin(self, new):
+        monkeypatch.setattr(Store, "_publish", publish)
+        Store.open(spark, store.path).append_bounded(numbers(spark, 25), 5, "s", 1)
+        publish(self, new)
+
+    monkeypatch.setattr(Store, "_publish", twin)
+    with pytest.raises(Conflict):
+        store.append_bounded(numbers(spark, 25), 5, "s", 1)
+    assert store.refresh().append_bounded(numbers(spark, 25), 5, "s", 1) == 0 and store.statistics()["rows"] == 50
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_a_new_file_replaces_none(spark, tmp_path, monkeypatch, links):
+    if not links:
+        monkeypatch.setattr(os, "link", lambda *_: (_ for _ in ()).throw(OSError("no links here")))
+    folder = Folder(spark, str(tmp_path / "f"))
+    assert folder.add("a", b"1") and not folder.add("a", b"2")
+    assert folder.read("a") == b"1" and [n for n in folder.names() if not n.startswith(".")] == ["a"]
